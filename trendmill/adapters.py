@@ -16,8 +16,16 @@ from trendmill.session import use_utc
 _REGION_CODES = {"AMERICA": "US", "EUROPE": "GB", "ASIA": "IN", "AFRICA": "FR"}
 
 
+_SCHEMAS: dict[tuple, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.  Its schema is read from the footer once per session and path."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = use_utc(spark).read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
 
 
 def _region_code(name):

@@ -12,11 +12,6 @@ from trendmill.operators.joins import dense_hour_join
 from trendmill.operators.ranks import exact_quantiles
 from trendmill.operators.views import prediction_quality
 
-# Unpartitioned windows below run over rows already aggregated to a few per
-# region, day or group; they never see the fact table.
-_ALL = Window.partitionBy()
-
-
 def percent_rate() -> Column:
     return F.avg("engagement_rate") * 100
 
@@ -51,8 +46,12 @@ def category_performance(df: DataFrame) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, amount: str, share: str = "share_pct") -> DataFrame:
-    """Percent of the column's total, on aggregated rows."""
-    return df.withColumn(share, F.col(amount) * 100.0 / F.sum(amount).over(_ALL))
+    """Percent of the column's total.
+
+    For rows already aggregated to a few per region, day or group: the window
+    has no partitions and must never see the fact table.
+    """
+    return df.withColumn(share, F.col(amount) * 100.0 / F.sum(amount).over(Window.partitionBy()))
 
 
 def regional_distribution(df: DataFrame) -> DataFrame:

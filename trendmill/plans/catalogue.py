@@ -1,4 +1,7 @@
 """Imports every query module, so that the registry is complete."""
 
-from trendmill.plans import view_queries  # noqa: F401
+from trendmill.plans import (  # noqa: F401
+    column_queries,
+    view_queries,
+)
 from trendmill.plans.registry import ORACLES, QUERIES  # noqa: F401
