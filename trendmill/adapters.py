@@ -125,18 +125,24 @@ def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trending rows: (order, line number) repeats, as raw video ids do."""
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    key = F.col("l_orderkey")
+    key, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    views = F.floor(F.col("l_extendedprice") * 100).cast("long")
+    nothing = F.lit(None)
     return lines.join(orders, key == F.col("o_orderkey")).select(
         F.concat_ws("-", key, "l_linenumber").alias("video_id"),
         F.concat_ws(" ", F.lit("Line"), "l_returnflag", "l_linestatus").alias("title"),
+        F.when(supplier % 5 == 0, nothing.cast("string")).when(supplier % 5 == 1, "")
+        .otherwise(F.concat(F.lit("  Shipped   as "), "l_returnflag")).alias("description"),
+        F.when(part % 7 == 0, nothing.cast("string")).when(part % 7 == 1, "")
+        .otherwise(F.concat(F.lit("line|"), "l_linestatus", F.lit("|#"), "l_returnflag")).alias("tags"),
+        (F.lit(1) + part % 47).cast("int").alias("category_id"),
         F.concat(F.lit("c"), "o_custkey").alias("channel_title"),
         F.col("o_orderdate").alias("publish_date"),
-        F.col("l_shipdate").alias("trending_date"),
-        F.when(F.col("l_suppkey") % 3 == 0, "US").when(F.col("l_suppkey") % 3 == 1, "GB")
-        .otherwise("IN").alias("region_code"),
-        F.floor(F.col("l_extendedprice") * 100).cast("long").alias("views"),
-        (F.col("l_quantity") * 100).cast("long").alias("likes"),
-        (F.col("l_partkey") % 500).alias("comments"),
+        F.when(part % 31 != 0, F.col("l_shipdate")).alias("trending_date"),
+        F.when(supplier % 3 == 0, "US").when(supplier % 3 == 1, "GB").otherwise("IN").alias("region_code"),
+        F.when(part % 29 == 0, -views).otherwise(views).alias("views"),
+        F.when(part % 37 != 0, F.col("l_quantity") * 100).cast("long").alias("likes"),
+        (part % 500).alias("comments"),
     )
 
 
@@ -144,10 +150,14 @@ TRENDING_SQL = """
 trending AS (
   SELECT l_orderkey || '-' || l_linenumber AS video_id,
     'Line ' || l_returnflag || ' ' || l_linestatus AS title,
-    'c' || o_custkey AS channel_title, o_orderdate AS publish_date, l_shipdate AS trending_date,
+    CASE l_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '  Shipped   as ' || l_returnflag END AS description,
+    CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'line|' || l_linestatus || '|#' || l_returnflag END AS tags,
+    CAST(1 + l_partkey % 47 AS INTEGER) AS category_id,
+    'c' || o_custkey AS channel_title, o_orderdate AS publish_date,
+    CASE WHEN l_partkey % 31 <> 0 THEN l_shipdate END AS trending_date,
     CASE l_suppkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' ELSE 'IN' END AS region_code,
-    CAST(floor(l_extendedprice * 100) AS BIGINT) AS views,
-    CAST(l_quantity * 100 AS BIGINT) AS likes, l_partkey % 500 AS comments
+    CAST(floor(l_extendedprice * 100) AS BIGINT) * CASE WHEN l_partkey % 29 = 0 THEN -1 ELSE 1 END AS views,
+    CASE WHEN l_partkey % 37 <> 0 THEN CAST(l_quantity * 100 AS BIGINT) END AS likes, l_partkey % 500 AS comments
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 )"""
 

@@ -1,6 +1,7 @@
 """Imports every query module, so that the registry is complete."""
 
 from trendmill.plans import (  # noqa: F401
+    clean_queries,
     column_queries,
     view_queries,
 )
