@@ -118,7 +118,7 @@ def top_category_per_group(df: DataFrame) -> DataFrame:
 
 def age_complexity_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("age_group").pivot("content_complexity", ["Simple", "Moderate", "Advanced"]).agg(
-        F.count("*")).na.fill(0)
+        F.count(F.lit(1))).na.fill(0)
 
 
 def age_hour_heatmap(df: DataFrame) -> DataFrame:
@@ -134,23 +134,26 @@ def age_insights(df: DataFrame) -> DataFrame:
     """
     means = age_metric_means(df).where("age_group IS NOT NULL")
 
-    def leader(insight, column):
-        # Lowest name wins a tie, hence the minimum of (-value, name).
-        best = F.min(F.struct((-F.col(column)).alias("v"), F.col("age_group").alias("g")))
-        return means.where(F.col(column).isNotNull()).agg(best.alias("b")).select(
-            F.lit(insight).alias("insight"), F.col("b.g").alias("age_group"),
-            F.lit(None).cast("string").alias("label"), (-F.col("b.v")).alias("value"))
+    def leader(column):
+        # Lowest name wins a tie, hence the minimum of (-value, name); nulls never lead.
+        entry = F.struct((-F.col(column)).alias("v"), F.col("age_group").alias("g"))
+        return F.min(F.when(F.col(column).isNotNull(), entry))
 
+    def row(insight, group, label, value):
+        return F.struct(F.lit(insight).alias("insight"), group.alias("age_group"),
+                        label.cast("string").alias("label"), value.cast("double").alias("value"))
+
+    # The group means are at most one row per age group; one aggregate reads them all.
     hour = F.floor("avg_publish_hour").cast("int")
-    peaks = means.where("avg_publish_hour IS NOT NULL").select(
-        F.lit("peak_time").alias("insight"), "age_group",
-        bands.time_of_day(hour, evening_end=22).alias("label"), hour.cast("double").alias("value"))
-    return (
-        leader("most_engaged", "avg_engagement_rate")
-        .unionByName(leader("most_viewed", "avg_views"))
-        .unionByName(leader("longest_titles", "avg_title_length"))
-        .unionByName(peaks)
-    )
+    peak = row("peak_time", F.col("age_group"), bands.time_of_day(hour, evening_end=22), hour)
+    leaders = {"most_engaged": "avg_engagement_rate", "most_viewed": "avg_views",
+               "longest_titles": "avg_title_length"}
+    whole = means.agg(*[leader(c).alias(name) for name, c in leaders.items()],
+                      F.collect_list(F.when(F.col("avg_publish_hour").isNotNull(), peak)).alias("peaks"))
+    best = F.array(*[F.when(F.col(name).isNotNull(),
+                            row(name, F.col(f"{name}.g"), F.lit(None), -F.col(f"{name}.v")))
+                     for name in leaders])
+    return whole.select(F.inline(F.concat(F.array_compact(best), "peaks")))
 
 
 def audience_table(videos: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ message``.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,12 +242,15 @@ def compound_duplicates(df: DataFrame, columns) -> DataFrame:
 def run_suite(df: DataFrame, suite=SUITE, order: str | None = None) -> DataFrame:
     """Evaluate a whole suite."""
     columns = [c for c in df.columns if c != order] if order else df.columns
-    out = fused_results(df.select(*columns), [
-        s if s[0] not in _SEPARATE or not _known(s[1], df.columns) else ("separate", {}) for s in suite])
-    for i, (kind, kw) in enumerate(suite):
-        if kind in _SEPARATE and _known(kw, df.columns):
-            out = out.unionByName(_own_frame(df, i, kind, kw, order))
-    return out
+    separate = [kind in _SEPARATE and _known(kw, df.columns) for kind, kw in suite]
+    frames = []
+    if not all(separate):
+        # Positions stay those of the suite, so the ids do too.
+        shared = [("separate", {}) if own else rule for own, rule in zip(separate, suite)]
+        frames.append(fused_results(df.select(*columns), shared))
+    frames += [_own_frame(df, i, kind, kw, order)
+               for i, (own, (kind, kw)) in enumerate(zip(separate, suite)) if own]
+    return reduce(DataFrame.unionByName, frames)
 
 
 _SEPARATE = ("unique", "unique_proportion", "compound_unique", "median", "increasing")

@@ -3,6 +3,10 @@
 from trendmill.plans import (  # noqa: F401
     clean_queries,
     column_queries,
+    evaluation_queries,
+    file_queries,
+    metric_queries,
+    quality_queries,
     view_queries,
 )
 from trendmill.plans.registry import ORACLES, QUERIES  # noqa: F401
