@@ -6,6 +6,7 @@ from trendmill.plans import (  # noqa: F401
     evaluation_queries,
     file_queries,
     metric_queries,
+    model_queries,
     quality_queries,
     view_queries,
 )

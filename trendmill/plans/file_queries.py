@@ -30,7 +30,9 @@ def _ntz(df: DataFrame) -> DataFrame:
                            if f.dataType.typeName() == "timestamp"})
 
 
-_REGION_DESCRIPTION = "CASE WHEN seq % 9 = 2 THEN 'first line' || chr(10) || 'said \"hi\", then left' ELSE description END"
+# An empty CSV field is a missing value, whether it was empty or null before.
+_REGION_DESCRIPTION = ("CASE WHEN seq % 9 = 2 THEN 'first line' || chr(10) || 'said \"hi\", then left' "
+                       "ELSE nullif(description, '') END")
 
 
 def _standard_sql(category_name: str, where: str) -> str:
@@ -62,22 +64,26 @@ def standardize_columns(spark, sf):
     return _ntz(standardized(spark, sf))
 
 
+_EMPTY_AS_NULL = "REPLACE (" + ", ".join(
+    f"nullif({c}, '') AS {c}" for c in ("description", "tags", "channel_id")) + ")"
+
+
 @query("load_any_format", videos_sql(
-    " UNION ALL ".join(f"SELECT '{fmt}' AS fmt, * FROM ({_standard_sql('NULL', 'true')})"
-                       for fmt in ("parquet", "json", "csv"))), doubles="engagement_rate")
+    " UNION ALL ".join(
+        f"SELECT '{fmt}' AS fmt, * {change} FROM ({_standard_sql('CAST(NULL AS VARCHAR)', 'true')})"
+        for fmt, change in (("parquet", ""), ("json", ""), ("csv", _EMPTY_AS_NULL)))), doubles="engagement_rate")
 def load_any_format(spark, sf):
     """The same table landed in all three formats, found out by the loader."""
-    rows = videos(spark, sf).withColumns({"publish_time": F.col("publish_date").cast("string")})
-    rows = landing.region_rows(spark, sf).drop("file").join(rows.select("video_id", "region_code"), "video_id")
-    standard = files.standardize_columns(rows, None, F.lit(NOW)).withColumn(
-        "category_name", F.lit(None).cast("string"))
+    rows = landing.region_rows(spark, sf).withColumn("region_code", F.substring("file", 1, 2)).withColumn(
+        "description", F.nullif(F.col("description"), F.lit("")))
+    standard = files.standardize_columns(rows, None, F.lit(NOW))
     # The CSV reader here splits lines, so line breaks travel as a marker.
     flat = standard.withColumn("description", F.replace("description", F.lit("\n"), F.lit("\\n")))
     parts = []
     for fmt in ("parquet", "json", "csv"):
         path = scratch_path(spark, f"any-{fmt}")
         source = flat if fmt == "csv" else standard
-        writer = source.write.option("escape", '"').option("emptyValue", '""')
+        writer = source.write.option("escape", '"')
         (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
         loaded = files.load_any_format(spark, path)
         if fmt == "csv":
@@ -101,8 +107,8 @@ def load_by_extension(spark, sf):
 
 
 _CSV_SQL = f"""
-SELECT video_id, title, channel_title, CAST(category_id AS VARCHAR) AS category_id, tags,
-  CAST(views AS VARCHAR) AS views, CAST(likes AS VARCHAR) AS likes, CAST(comments AS VARCHAR) AS comment_count,
+SELECT video_id, title, channel_title, CAST(category_id AS VARCHAR) AS category_id,
+  nullif(tags, '') AS tags, CAST(views AS VARCHAR) AS views, CAST(likes AS VARCHAR) AS likes, CAST(comments AS VARCHAR) AS comment_count,
   {_REGION_DESCRIPTION} AS description, region_code FROM videos"""
 _CSV_COLUMNS = ["video_id", "title", "channel_title", "category_id", "tags", "views", "likes",
                 "comment_count", "description", "region_code"]

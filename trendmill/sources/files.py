@@ -43,7 +43,7 @@ def load_any_format(spark: SparkSession, path: str, schema: T.StructType = JOB_I
         # A declared text schema saves the inference pass over all files.
         return _typed(spark.read.schema(_text_schema(schema)).json(path), schema)
     if "," in start:
-        return _typed(spark.read.option("header", True).csv(path), schema)
+        return _typed(spark.read.option("header", True).option("escape", '"').csv(path), schema)
     raise ValueError(f"could not read {path} in any supported format")
 
 
@@ -53,7 +53,7 @@ def load_by_extension(spark: SparkSession, path: str, extension: str | None = No
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
-        return spark.read.option("header", True).csv(path)
+        return spark.read.option("header", True).option("escape", '"').csv(path)
     if kind == "json":
         return spark.read.json(path)
     raise ValueError(f"Unsupported file format: {path}")
