@@ -41,12 +41,12 @@ def known_labels(rows: DataFrame):
     return rows.agg(F.array_sort(F.collect_set("category_id"))).scalar()
 
 
-def classifier(kind: str, rows: int, trees: int = 100, depth: int = 20):
+def classifier(kind: str, rows: int, trees: int = 100, depth: int = 20, iterations: int = 100):
     """The three classifiers; the linear margin's C = 1 is 1/n in Spark's penalty."""
     if kind == "naive_bayes":
         return NaiveBayes(smoothing=0.1, modelType="multinomial")
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / max(rows, 1), maxIter=50))
+        return OneVsRest(classifier=LinearSVC(regParam=1.0 / max(rows, 1), maxIter=iterations))
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, cacheNodeIds=True)
     raise ValueError(f"Unsupported classifier type: {kind}")
@@ -70,7 +70,10 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
         search = CrossValidator(
             estimator=classifier(kind, sizes.get(True, 0), **size), estimatorParamMaps=ParamGridBuilder().build(),
             evaluator=accuracy, numFolds=folds, foldCol="fold", parallelism=2)
-        cross = search.fit(vectors.transform(train).withColumn("label", F.col("label").cast("double")))
+        # Iterative fits read this frame many times.
+        inputs = vectors.transform(train).select("features", "fold", F.col("label").cast("double")).persist()
+        cross = search.fit(inputs)
+        inputs.unpersist()
         back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
         model = TextModel(kind, PipelineModel([*stages, cross.bestModel, back]))
         scored = model.pipeline.transform(test).withColumn("predicted", F.col("predicted_label").cast("int"))

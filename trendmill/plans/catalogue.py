@@ -8,6 +8,7 @@ from trendmill.plans import (  # noqa: F401
     metric_queries,
     model_queries,
     quality_queries,
+    stream_queries,
     view_queries,
 )
 from trendmill.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -199,7 +199,7 @@ def _text_query(kind: str, **size):
 
 
 _text_query("naive_bayes")
-_text_query("svm")
+_text_query("svm", iterations=3)
 _text_query("random_forest", trees=10, depth=8)
 
 
