@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 
 from trendmill.session import use_utc
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over all cores when the input has fewer files than there are cores.
+
+    A few small files would leave row-heavy work to as few tasks.  Tables of
+    many files are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if len(df.inputFiles()) < cores else df
+
+
 _REGION_CODES = {"AMERICA": "US", "EUROPE": "GB", "ASIA": "IN", "AFRICA": "FR"}
 
 
@@ -123,7 +133,7 @@ videos AS (
 
 def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trending rows: (order, line number) repeats, as raw video ids do."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
     key, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     views = F.floor(F.col("l_extendedprice") * 100).cast("long")
@@ -167,7 +177,7 @@ TRENDING_ORDER = ["trending_date", "views", "likes", "comments", "region_code",
 
 def doc_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as videos; the whole text is the description."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select(
         F.col("doc_id").cast("string").alias("video_id"),
         F.substring_index("text", "\n", 1).alias("title"),

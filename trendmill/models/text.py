@@ -75,17 +75,25 @@ def tfidf_weights(df: DataFrame, key: str, tokens: str = "tokens", max_terms: in
     terms, which bounds the broadcast.
     """
     n = df.agg(F.count("*")).scalar()
-    counted = (
-        df.select(key, F.explode(terms(F.col(tokens))).alias("term"))
-        .groupBy(key, "term").agg(F.count("*").alias("tf"))
-    )
+    every = terms(F.col(tokens))
+    # One entry per occurrence and one per document, added up on the map side:
+    # documents are not grouped by term, and rare pairs never travel with a key.
+    hits = F.transform(every, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    firsts = F.transform(F.array_distinct(every),
+                         lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
     vocabulary = (
-        counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+        df.select(F.inline(F.concat(hits, firsts)))
+        .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
         .where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df)))
         .orderBy(F.desc("total"), "term").limit(max_terms)
         .select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
-    raw = counted.join(F.broadcast(vocabulary), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    # Terms outside the vocabulary are gone before anything is shuffled.
+    raw = (
+        df.select(key, F.explode(every).alias("term"))
+        .join(F.broadcast(vocabulary), "term")
+        .groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("raw"))
+    )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 

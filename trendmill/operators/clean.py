@@ -9,6 +9,7 @@ from trendmill import constants as K
 from trendmill.functions import bands, engagement, temporal, text
 from trendmill.operators.enrich import presence_flags
 from trendmill.operators.ranks import column_quantiles
+from trendmill.session import materialise
 
 CRITICAL = ["video_id", "title", "channel_title", "views", "likes"]
 COUNTS = ["views", "likes", "comments", "tag_count"]
@@ -173,9 +174,13 @@ def _repaired(df: DataFrame, keys, order, now: Column) -> DataFrame:
 
 
 def comprehensive_clean(df: DataFrame, order, now: Column, keys=("video_id",)) -> DataFrame:
-    """Dedup, text, numbers, dates, outliers, derived columns, null rows - in that order."""
+    """Dedup, text, numbers, dates, outliers, derived columns, null rows - in that order.
+
+    The fences need two passes over the repaired rows before the rows themselves
+    go on, so the deduplicated rows are written once rather than shuffled thrice.
+    """
     return (
-        _repaired(df, keys, order, now)
+        materialise(_repaired(df, keys, order, now), "repaired")
         .transform(cap_outliers_iqr)
         .transform(add_derived_fields)
         .transform(drop_null_critical)
@@ -184,7 +189,7 @@ def comprehensive_clean(df: DataFrame, order, now: Column, keys=("video_id",)) -
 
 def cleaning_report(df: DataFrame, order, keys=("video_id",)) -> DataFrame:
     """One row: rows in and out, what was removed or changed, and the score."""
-    unique = dedup_keep_last(df, keys, order)
+    unique = materialise(dedup_keep_last(df, keys, order), "unique")
     corrections = numeric_corrections(unique)
     numbers = clean_numeric_fields(unique)
     fences = _fence_lookup(numbers, CAPPED, 1.5)

@@ -283,9 +283,9 @@ def failed_expectations(results: DataFrame) -> DataFrame:
     return results.where(~F.col("success"))
 
 
-def row_violations(df: DataFrame, rules: T.StructType) -> DataFrame:
-    """Adds ``violations``: names of the schema rules each row breaks."""
-    checks = []
+def _rule_tests(df: DataFrame, rules: T.StructType) -> dict[str, Column]:
+    """``field:rule`` -> condition of a row that breaks it."""
+    out = {}
     for field in rules.fields:
         if field.name not in df.columns:
             continue
@@ -301,14 +301,23 @@ def row_violations(df: DataFrame, rules: T.StructType) -> DataFrame:
             "pattern": ~F.regexp_like(c, F.lit(meta["pattern"])) if "pattern" in meta else None,
             "allowed": ~c.isin(*meta["allowed"]) if "allowed" in meta else None,
         }
-        checks += [F.when(test, F.lit(f"{field.name}:{rule}")) for rule, test in tests.items()
-                   if test is not None]
-    return df.withColumn("violations", F.array_compact(F.array(*checks)))
+        out |= {f"{field.name}:{rule}": test for rule, test in tests.items() if test is not None}
+    return out
+
+
+def row_violations(df: DataFrame, rules: T.StructType) -> DataFrame:
+    """Adds ``violations``: names of the schema rules each row breaks."""
+    broken = [F.when(test, F.lit(name)) for name, test in _rule_tests(df, rules).items()]
+    return df.withColumn("violations", F.array_compact(F.array(*broken)))
 
 
 def violation_report(df: DataFrame, rules: T.StructType) -> DataFrame:
-    return row_violations(df, rules).select(F.explode("violations").alias("violation")).groupBy(
-        "violation").agg(F.count("*").alias("rows"))
+    """Rows per broken rule: one aggregate, nothing exploded but its single row."""
+    tests = _rule_tests(df, rules)
+    counts = df.agg(*[F.count_if(test).alias(f"r{i}") for i, test in enumerate(tests.values())])
+    listed = F.array(*[F.struct(F.lit(name).alias("violation"), F.col(f"r{i}").alias("rows"))
+                       for i, name in enumerate(tests)])
+    return counts.select(F.inline(listed)).where("rows > 0")
 
 
 def table_schema_issues(df: DataFrame, rules: T.StructType) -> DataFrame:

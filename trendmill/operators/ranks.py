@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bins per doubling of the magnitude; a coarse bin spans COARSE fine bins.
-FINE_BINS = 65536
-COARSE = 4096
+FINE_BINS = 8192
+COARSE = 512
 
 
 def bin_of(value: Column) -> Column:
@@ -39,7 +39,7 @@ def _running_bins(counts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bin, n) with ``before``: rows of the group in lower bins.
 
     Two short windows - over coarse bins, then over the fine bins inside each -
-    keep every window partition at a few thousand rows.
+    keep every window partition at about a thousand rows.
     """
     coarse = counts.withColumn("coarse", F.floor(F.col("bin") / COARSE))
     totals = coarse.groupBy(*keys, "coarse").agg(F.sum("n").alias("coarse_n"))

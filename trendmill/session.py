@@ -60,7 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives a lost executor)."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+def materialise(df, name: str = "stage"):
+    """Write a frame that several passes read to the shared folder and read it back.
+
+    Runs a job.  The copy is columnar, so later passes read only their columns,
+    and it outlives a lost executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
