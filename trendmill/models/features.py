@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,10 @@ def feature_catalog(matrix: DataFrame) -> DataFrame:
 
     named = matrix.sparkSession.createDataFrame(
         [(p, label(p, n), kind(p, n)) for p, n in slots], "position int, feature string, kind string")
-    used = matrix.select(F.posexplode(vector_to_array("features")).alias("position", "value")).where(
-        "value <> 0").groupBy("position").agg(F.count("*").alias("rows"))
-    return named.join(used, "position", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    # One vector of counts for the whole matrix: a row per slot, not per cell.
+    used = matrix.agg(Summarizer.numNonZeros(F.col("features")).alias("n")).select(
+        F.posexplode(vector_to_array("n")).alias("position", "rows"))
+    return named.join(used, "position", "left").withColumn("rows", F.col("rows").cast("bigint"))
 
 
 def save_transformers(model: PipelineModel, path: str) -> None:

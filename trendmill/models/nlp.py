@@ -55,7 +55,7 @@ def classifier(kind: str, rows: int, trees: int = 100, depth: int = 20, iteratio
 def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, key: str = "video_id",
                      **size) -> TextModel:
     """Stratified 80/20 split, cross-validated accuracy on the training side, figures on the test side."""
-    rows = mark_train(training_set(df), key, "category_id").withColumn("terms", terms(F.col("tokens")))
+    rows = mark_train(training_set(df), key, "category_id", few=True).withColumn("terms", terms(F.col("tokens")))
     rows = with_folds(rows, key, folds).persist()
     try:
         sizes = {r["is_train"]: r["n"] for r in rows.groupBy("is_train").agg(F.count("*").alias("n")).collect()}

@@ -15,12 +15,13 @@ def draw(key: str, seed: int) -> Column:
 
 
 def mark_train(df: DataFrame, key: str, label: str | None = None, share: float = 0.8,
-               seed: int = 42) -> DataFrame:
+               seed: int = 42, few: bool = False) -> DataFrame:
     """Adds ``is_train``: the ``share`` of rows (of each label) with the smallest draws.
 
     The cut is the exact order statistic of the draws per label, found by
     counting (see ``operators.ranks``); a label that owns most rows is never
-    gathered.  Rows that share a key share a side.
+    gathered.  Rows that share a key share a side.  ``few``: the labels are a
+    bounded list, so the cuts may be broadcast.
     """
     keys = [label] if label else []
     drawn = df.withColumn("_draw", draw(key, seed))
@@ -29,11 +30,11 @@ def mark_train(df: DataFrame, key: str, label: str | None = None, share: float =
         rank = F.greatest(F.round(n * F.lit(share)).cast("long") - 1, F.lit(0))
         return F.array(F.struct(F.lit("cut").alias("tag"), rank.alias("rank")))
 
-    cuts = values_at_ranks(drawn, keys, "_draw", last_train_row)
+    cuts = values_at_ranks(drawn, keys, "_draw", last_train_row, few)
     if not keys:
         return drawn.withColumn("is_train", F.col("_draw") <= cuts.select("value").scalar()).drop("_draw")
     cuts = cuts.select(*keys, F.col("value").alias("_cut"))
-    return (_null_safe_join(drawn, cuts, keys).withColumn("is_train", F.col("_draw") <= F.col("_cut"))
+    return (_null_safe_join(drawn, cuts, keys, small=few).withColumn("is_train", F.col("_draw") <= F.col("_cut"))
             .drop("_draw", "_cut"))
 
 

@@ -136,9 +136,8 @@ def outlier_counts(df: DataFrame, columns=CAPPED, reach: float = 1.5) -> DataFra
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                       for c in columns])
     long = df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
-    # Fences are one row per column: a join side of a few rows.
-    return (
-        long.join(iqr_fences(df, columns, reach), "column")
+    return (  # the fences are one row per listed column
+        long.join(F.broadcast(iqr_fences(df, columns, reach)), "column")
         .groupBy("column", "q1", "q3", "low", "high")
         .agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers"))
     )

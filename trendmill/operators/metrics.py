@@ -133,11 +133,11 @@ def engagement_box_by_tags(df: DataFrame) -> DataFrame:
     rows = df.where("engagement_rate IS NOT NULL").select(
         bands.band(F.col("tag_count"), *TAG_BUCKETS).alias("bucket"), "engagement_rate")
     box = exact_quantiles(rows, ["bucket"], "engagement_rate",
-                          {"q1": 0.25, "median": 0.5, "q3": 0.75})
+                          {"q1": 0.25, "median": 0.5, "q3": 0.75}, few=True)  # five buckets
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("engagement_rate").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        rows.join(box, "bucket")
+        rows.join(F.broadcast(box), "bucket")
         .groupBy("bucket", "q1", "median", "q3")
         .agg(F.min(F.when(inside, F.col("engagement_rate"))).alias("whisker_low"),
              F.max(F.when(inside, F.col("engagement_rate"))).alias("whisker_high"),

@@ -57,9 +57,15 @@ def _running_bins(counts: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("before", F.col("coarse_before") + F.col("inner_before"))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys meet; keeps the left side's key columns."""
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
+                    small: bool = False) -> DataFrame:
+    """Equi-join in which null keys meet; keeps the left side's key columns.
+
+    ``small`` broadcasts the right side: only for sides of a known bound.
+    """
     renamed = right.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns])
+    if small:
+        renamed = F.broadcast(renamed)
     condition = None
     for c in on:
         same = F.col(c).eqNullSafe(F.col(f"__{c}"))
@@ -67,12 +73,18 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"__{c}" for c in on])
 
 
-def values_at_ranks(df: DataFrame, keys: list[str], value: str, positions) -> DataFrame:
+def values_at_ranks(df: DataFrame, keys: list[str], value: str, positions, few: bool = False) -> DataFrame:
     """The value at given 0-based ranks of every group, nulls left out.
 
     ``positions(n)`` maps the group's row count to an array column of structs
     ``(tag, rank)``.  Returns ``keys, tag, rank, value, group_n``.
+
+    ``few`` says that the caller knows the number of groups to be bounded (a
+    fixed list of labels, say): then the wanted bins are a handful of rows and
+    are broadcast, and the data is not shuffled to look them up.  Without groups
+    that holds by itself; otherwise the join is left to AQE.
     """
+    few = few or not keys
     known = df.select(*keys, F.col(value).alias("value")).where(F.col("value").isNotNull())
     known = known.withColumn("bin", bin_of(F.col("value")))
     bins = known.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
@@ -90,7 +102,7 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, positions) -> Da
         F.min("group_n").alias("group_n"), F.min("before").alias("before"),
         F.collect_list(F.struct("tag", "rank")).alias("wants"))
     counted = (
-        _null_safe_join(known, targets.select(*on), on, "left_semi")
+        _null_safe_join(known, targets.select(*on), on, "left_semi", small=few)
         .groupBy(*on, "value").agg(F.count("*").alias("n"))
     )
     inside = Window.partitionBy(*on).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +117,8 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, positions) -> Da
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                    few: bool = False) -> DataFrame:
     """One row per group with a column per named probability (linear interpolation)."""
     def positions(n: Column) -> Column:
         wants = []
@@ -115,7 +128,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
                       F.struct(F.lit(f"{name}:hi").alias("tag"), F.ceil(at).cast("long").alias("rank"))]
         return F.array(*wants)
 
-    found = values_at_ranks(df, keys, value, positions)
+    found = values_at_ranks(df, keys, value, positions, few)
     outs = []
     for name, p in probs.items():
         at = (F.max("group_n") - 1) * F.lit(float(p))
@@ -130,7 +143,7 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                       for c in columns])
     long = df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
-    return exact_quantiles(long, ["column"], "value", probs)
+    return exact_quantiles(long, ["column"], "value", probs, few=True)
 
 
 def prefix_totals(counts: DataFrame, value: str, amounts: list[str]) -> DataFrame:
