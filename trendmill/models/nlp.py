@@ -54,9 +54,12 @@ def classifier(kind: str, rows: int, trees: int = 100, depth: int = 20, iteratio
 
 def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, key: str = "video_id",
                      **size) -> TextModel:
-    """Stratified 80/20 split, cross-validated accuracy on the training side, figures on the test side."""
+    """Stratified 80/20 split, cross-validated accuracy on the training side, figures on the test side.
+
+    ``folds=0`` skips the cross-validation.
+    """
     rows = mark_train(training_set(df), key, "category_id", few=True).withColumn("terms", terms(F.col("tokens")))
-    rows = with_folds(rows, key, folds).persist()
+    rows = with_folds(rows, key, max(folds, 1)).persist()
     try:
         sizes = {r["is_train"]: r["n"] for r in rows.groupBy("is_train").agg(F.count("*").alias("n")).collect()}
         if sum(sizes.values()) < K.MIN_TRAINING_ROWS:
@@ -67,19 +70,25 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
         stages = fit_tfidf(train)
         vectors = PipelineModel(stages)
         accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
-        search = CrossValidator(
-            estimator=classifier(kind, sizes.get(True, 0), **size), estimatorParamMaps=ParamGridBuilder().build(),
-            evaluator=accuracy, numFolds=folds, foldCol="fold", parallelism=2)
+        learner = classifier(kind, sizes.get(True, 0), **size)
         # Iterative fits read this frame many times.
         inputs = vectors.transform(train).select("features", "fold", F.col("label").cast("double")).persist()
-        cross = search.fit(inputs)
+        cross = {}
+        if folds > 1:
+            search = CrossValidator(
+                estimator=learner, estimatorParamMaps=ParamGridBuilder().build(), evaluator=accuracy,
+                numFolds=folds, foldCol="fold", parallelism=2).fit(inputs)
+            best = search.bestModel
+            cross = {"cv_mean_accuracy": float(search.avgMetrics[0]), "cv_std_accuracy": float(search.stdMetrics[0])}
+        else:
+            best = learner.fit(inputs)
         inputs.unpersist()
         back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-        model = TextModel(kind, PipelineModel([*stages, cross.bestModel, back]))
+        model = TextModel(kind, PipelineModel([*stages, best, back]))
         scored = model.pipeline.transform(test).withColumn("predicted", F.col("predicted_label").cast("int"))
         figures = classification_metrics(scored, "category_id", "predicted").first().asDict()
         model.metrics = {
-            **figures, "cv_mean_accuracy": float(cross.avgMetrics[0]), "cv_std_accuracy": float(cross.stdMetrics[0]),
+            **figures, **cross,
             "training_samples": sizes.get(True, 0), "test_samples": sizes.get(False, 0),
             "meets_threshold": (figures["accuracy"] or 0.0) >= K.NLP_ACCURACY_GATE}
         return model

@@ -187,39 +187,39 @@ def engagement_training_set(spark, sf):
     return engagement.training_set(df)[0]
 
 
-def _text_query(kind: str, **size):
+def _text_query(kind: str, folds: int = 2, **size):
     """Figures of one text classifier."""
     @query(f"nlp_train_{kind}")
     def run(spark, sf):
         df = doc_videos(spark, sf)
-        model = nlp.train_text_model(df, kind, folds=2, **size)
+        model = nlp.train_text_model(df, kind, folds, **size)
         return nlp.metrics_frame(df, kind, model.metrics)
 
     return run
 
 
 _text_query("naive_bayes")
-_text_query("svm", iterations=3)
+_text_query("svm", folds=0, iterations=3)
 _text_query("random_forest", trees=10, depth=8)
 
 
 @query("nlp_feature_importance")
 def nlp_feature_importance(spark, sf):
     df = doc_videos(spark, sf)
-    return nlp.feature_importance(df, nlp.train_text_model(df, folds=2))
+    return nlp.feature_importance(df, nlp.train_text_model(df, folds=0))
 
 
 @query("nlp_predict")
 def nlp_predict(spark, sf):
     df = doc_videos(spark, sf)
-    scored = nlp.predict_categories(df, nlp.train_text_model(df, folds=2))
+    scored = nlp.predict_categories(df, nlp.train_text_model(df, folds=0))
     return scored.select("video_id", "category_id", "nlp_predicted_category", "nlp_category_confidence")
 
 
 @query("save_load_nlp_model")
 def save_load_nlp_model(spark, sf):
     df, path = doc_videos(spark, sf), scratch_path(spark, "nlp-model")
-    nlp.save_text_model(nlp.train_text_model(df, folds=2), path)
+    nlp.save_text_model(nlp.train_text_model(df, folds=0), path)
     scored = nlp.predict_categories(df, nlp.load_text_model(path))
     return scored.select("video_id", "nlp_predicted_category", "nlp_category_confidence")
 
