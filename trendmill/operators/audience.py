@@ -132,12 +132,15 @@ def age_insights(df: DataFrame) -> DataFrame:
 
     One row per insight: ``(insight, age_group, label, value)``.
     """
-    means = age_metric_means(df).where("age_group IS NOT NULL")
+    # Not a filter: on the grouping column it would be pushed below the labels
+    # and work them out a second time for every video.
+    means = age_metric_means(df)
+    named = F.col("age_group").isNotNull()
 
     def leader(column):
         # Lowest name wins a tie, hence the minimum of (-value, name); nulls never lead.
         entry = F.struct((-F.col(column)).alias("v"), F.col("age_group").alias("g"))
-        return F.min(F.when(F.col(column).isNotNull(), entry))
+        return F.min(F.when(named & F.col(column).isNotNull(), entry))
 
     def row(insight, group, label, value):
         return F.struct(F.lit(insight).alias("insight"), group.alias("age_group"),
@@ -149,7 +152,7 @@ def age_insights(df: DataFrame) -> DataFrame:
     leaders = {"most_engaged": "avg_engagement_rate", "most_viewed": "avg_views",
                "longest_titles": "avg_title_length"}
     whole = means.agg(*[leader(c).alias(name) for name, c in leaders.items()],
-                      F.collect_list(F.when(F.col("avg_publish_hour").isNotNull(), peak)).alias("peaks"))
+                      F.collect_list(F.when(named & F.col("avg_publish_hour").isNotNull(), peak)).alias("peaks"))
     best = F.array(*[F.when(F.col(name).isNotNull(),
                             row(name, F.col(f"{name}.g"), F.lit(None), -F.col(f"{name}.v")))
                      for name in leaders])
