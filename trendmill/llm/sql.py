@@ -113,8 +113,10 @@ FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
 OP5 = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x
            FROM documents),
-w AS (SELECT rid, p, md5_number(substr(x, 2 * p - 1, 200)) AS h
-      FROM (SELECT rid, x, unnest(range(1, CAST(length(x) // 2 AS BIGINT) - 98)) AS p FROM d WHERE length(x) >= 200)),
+k AS (SELECT rid, length(x) // 2 AS n, k, substr(x, 400 * k + 1, 598) AS b
+      FROM (SELECT rid, x, unnest(range(0, length(x) // 400 + 1)) AS k FROM d WHERE length(x) >= 200)),
+w AS (SELECT rid, 200 * k + j AS p, md5_number(substr(b, 2 * j - 1, 200)) AS h
+      FROM (SELECT rid, n, k, b, unnest(range(1, 201)) AS j FROM k) WHERE 200 * k + j + 99 <= n),
 f AS (SELECT h, min((rid, p)) AS earliest FROM w GROUP BY h HAVING count(*) > 1),
 rep AS (SELECT rid, p FROM w JOIN f USING (h) WHERE (rid, p) <> earliest),
 brk AS (SELECT rid, p, CAST(p > coalesce(lag(p) OVER (PARTITION BY rid ORDER BY p), -1000) + 100 AS INT) AS opens FROM rep),
