@@ -9,6 +9,7 @@ entries, and what is found in two places goes back to its chunk as positions.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -39,9 +40,14 @@ def bucket_count(docs: DataFrame, text: str) -> int:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of frames that are gone; they count as disk until then."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete shuffle files of frames that are gone; they count as disk until then.
+
+    The first round frees the driver's handles, the second what only they referred to.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def to_runs(positions: np.ndarray) -> np.ndarray:
