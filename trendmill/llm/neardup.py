@@ -5,9 +5,9 @@ key from each, so m + m half keys serve m * m tables.  Documents that meet in a
 they are linked only if their full shingle sets are similar enough, and links make components.
 
 Documents with equal sets are one class throughout.  In a table's bucket not all pairs are tried:
-members meet hubs of the bucket, linked members are then one component, and more hubs, in the end all
-members, are tried only across components.  So a bucket of near copies costs its size, and no
-candidate pair of different components stays untried.
+members meet a hub of the bucket, linked members are then one component, and in the end all pairs are
+tried, but only across components.  So a bucket of near copies costs its size, and no candidate pair of
+different components stays untried.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from trendmill.session import materialise
 #: Half keys per collection and minhashes per half key: 256 tables of 8 minhashes out of 128.
 #: At a similarity of 0.8 a pair meets in some table with probability (1 - (1 - 0.8^4)^16)^2 > 0.9995.
 COLLECTION, HALF = 16, 4
-#: Members of a bucket that are tried against all its members in the first full round; doubled after.
-HUBS = 32
+#: Rounds in which each class is tried against one hub before all pairs across components are.
+ROUNDS = 2
 #: Members that one verifying task takes of a hub at once.
 GROUP = 256
 
@@ -156,7 +156,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where(F.col("u") != F.col("v")).distinct(), "large")
+        large = large.where(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
@@ -169,6 +169,39 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct())
 
 
+def _open_buckets(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, cls, root) of the buckets whose members are not one component yet."""
+    named = _labelled(members, roots, "cls", "root")
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return materialise(named.join(mixed.select("key"), "key", "left_semi"), "open")
+
+
+def _hub_pairs(named: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class with one hub, of those that its buckets offer the one offered most.
+
+    A bucket offers two hubs of different components, so that every member meets another component.
+    """
+    rank = F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "root")
+    first = named.groupBy("key").agg(F.min(rank).alias("first"))
+    ranked = named.join(first, "key")
+    away = F.col("root") != F.col("first.root")
+    second = ranked.where(away).groupBy("key").agg(F.min(rank).alias("second"))
+    hub = F.when(away, F.col("first.cls")).otherwise(F.col("second.cls"))
+    offers = ranked.join(second, "key").select("cls", hub.alias("hub")).groupBy("cls", "hub").agg(F.count("*").alias("n"))
+    best = offers.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    return best.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+
+
+def _all_pairs(named: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components in a bucket, with one outside its largest component."""
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    outside = (named.join(largest, "key").where(F.col("root") != F.col("largest"))
+               .select("key", F.col("cls").alias("x"), F.col("root").alias("own")))
+    return (named.join(outside, "key").where(F.col("own") != F.col("root"))
+            .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct())
+
+
 def _labelled(rows: DataFrame, roots: DataFrame | None, column: str, out: str) -> DataFrame:
     if roots is None:
         return rows.withColumn(out, F.col(column))
@@ -194,8 +227,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, collecti
         F.min("__id").alias("least"), F.min(F.struct("__id", "__content")).alias("shown"),
         F.first("keys").alias("keys")), "classes")
     members = _tables(classes, collection)
-    buckets = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a")).where("n > 1"),
-                          "buckets")
+    # Tables whose buckets have the same members say the same: one of them is enough.
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"))
+    buckets = buckets.where("n > 1").groupBy("n", "sum").agg(F.min("key").alias("key"))
     members = materialise(members.join(buckets.select("key"), "key", "left_semi"), "members")
     free_shuffles(spark)
     shown = members.select("cls").distinct().join(classes.select("cls", "shown"), "cls")
@@ -204,40 +238,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, collecti
                         .select("cls", F.col("__text").alias("text")).dropDuplicates(["cls"]), "texts")
     free_shuffles(spark)
 
-    # First each class against the hub it shares most tables with: this joins most near copies.
-    shared = (members.join(buckets.select("key", "a"), "key").where(F.col("a") != F.col("cls"))
-              .groupBy("a", "cls").agg(F.count("*").alias("tables")))
-    best = shared.groupBy("cls").agg(F.max_by("a", F.struct("tables", "a")).alias("a"))
-    tried = materialise(best.select("a", F.col("cls").alias("b")), "tried")
-    links = materialise(_links(tried, texts, width, percent), "links")
-    roots = components(links) if links.head(1) else None
-
-    # Then across components only: hubs chosen by hash, twice as many each time, until all were hubs.
-    # A bucket whose members are one component is done; the others carry their members on.
-    members = members.join(buckets.select("key", "n"), "key")
-    hubs = HUBS
-    while True:
-        named = _labelled(members.select("key", "cls", "n"), roots, "cls", "root")
-        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        named = materialise(named.join(mixed.select("key"), "key", "left_semi"), "open")
-        largest = named.agg(F.max("n")).first()[0]
-        if largest is None:
+    # Buckets of several components go on; first each member is tried against one hub of another
+    # component, the one it shares most tables with, which joins nearly all there is to join.
+    roots, links, tried = None, None, None
+    for turn in range(ROUNDS + 1):
+        named = _open_buckets(members, roots)
+        if not named.head(1):
             break
-        chance = F.shiftrightunsigned(F.xxhash64("cls", "key"), 33) * F.col("n") < F.lit(hubs) * (1 << 31)
-        hub = named.where((F.col("n") <= hubs) | chance).select("key", F.col("cls").alias("a"), F.col("root").alias("ra"))
-        pairs = (named.join(hub, "key").where(F.col("ra") != F.col("root"))
-                 .select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct())
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_links(pairs, texts, width, percent), "links")
-        tried = tried.unionByName(pairs)
-        if more.head(1):
-            links = links.unionByName(more)
+        pairs = _hub_pairs(named, turn) if turn < ROUNDS else _all_pairs(named)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = materialise(_links(pairs, texts, width, percent), "links")
+        if found.head(1):
+            links = found if links is None else links.unionByName(found)
             roots = components(links)
         free_shuffles(spark)
-        if hubs >= largest:
-            break
-        hubs *= 2
 
     named = _labelled(classes.select("cls", "least"), roots, "cls", "root")
     smallest = named.groupBy("root").agg(F.min("least").alias("smallest"))
