@@ -14,7 +14,8 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.maxMetadataStringLength": "10000"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

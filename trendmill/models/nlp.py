@@ -46,7 +46,7 @@ def classifier(kind: str, rows: int, trees: int = 100, depth: int = 20, iteratio
     if kind == "naive_bayes":
         return NaiveBayes(smoothing=0.1, modelType="multinomial")
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / max(rows, 1), maxIter=iterations), parallelism=4)
+        return OneVsRest(classifier=LinearSVC(regParam=1.0 / max(rows, 1), maxIter=iterations, standardization=False), parallelism=4)
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, cacheNodeIds=True)
     raise ValueError(f"Unsupported classifier type: {kind}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendmill.operators.ranks import _null_safe_join, values_at_ranks
+from trendmill.operators.ranks import null_safe_join, values_at_ranks
 
 
 def draw(key: str, seed: int) -> Column:
@@ -34,7 +34,7 @@ def mark_train(df: DataFrame, key: str, label: str | None = None, share: float =
     if not keys:
         return drawn.withColumn("is_train", F.col("_draw") <= cuts.select("value").scalar()).drop("_draw")
     cuts = cuts.select(*keys, F.col("value").alias("_cut"))
-    return (_null_safe_join(drawn, cuts, keys, small=few).withColumn("is_train", F.col("_draw") <= F.col("_cut"))
+    return (null_safe_join(drawn, cuts, keys, small=few).withColumn("is_train", F.col("_draw") <= F.col("_cut"))
             .drop("_draw", "_cut"))
 
 

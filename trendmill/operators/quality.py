@@ -20,7 +20,7 @@ from trendmill import constants as K
 from trendmill import schema as zones
 from trendmill.operators.clean import outlier_counts
 from trendmill.operators.ordering import order_breaks
-from trendmill.operators.ranks import exact_quantiles
+from trendmill.operators.ranks import exact_quantiles, null_safe_join
 
 _NUMERIC = {"int64": (T.LongType, T.IntegerType), "float64": (T.DoubleType, T.FloatType),
             "datetime64[ns]": (T.TimestampType, T.TimestampNTZType),
@@ -176,11 +176,14 @@ def _known(kw: dict, names) -> bool:
     return all(c in names for c in used)
 
 
-def fused_results(df: DataFrame, suite, by: list[str] | None = None) -> DataFrame:
-    """Row-level, aggregate and schema expectations of a suite in one aggregate (per ``by`` group)."""
+def fused_results(df: DataFrame, suite, by: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Row-level, aggregate and schema expectations of a suite in one aggregate (per ``by`` group).
+
+    ``schema`` is what the schema checks look at, if the frame has columns besides.
+    """
     aggregates, results = [F.count("*").alias("rows")], []
     for i, (kind, kw) in enumerate(suite):
-        verdict = _schema_outcome(kind, kw, df.schema)
+        verdict = _schema_outcome(kind, kw, schema or df.schema)
         if verdict is not None:
             results.append(_result(i, kind, kw, F.lit(verdict), _no(), F.lit(0 if verdict else 1)))
             continue
@@ -204,51 +207,55 @@ def fused_results(df: DataFrame, suite, by: list[str] | None = None) -> DataFram
     return grouped.select(*(by or []), F.inline(F.array(*results)))
 
 
-def _own_frame(df: DataFrame, i: int, kind: str, kw: dict, order: str | None) -> DataFrame | None:
+def _own_frame(df: DataFrame, i: int, kind: str, kw: dict, order: str | None, by: list[str]) -> DataFrame:
+    """The result of a check that needs a frame of its own; one row, or one per ``by`` group."""
+    column = F.col(kw["column"]) if "column" in kw else None
     if kind == "unique":
-        c = F.col(kw["column"])
-        stats = df.agg(F.count(c).alias("n"), F.count_distinct(c).alias("d"))
+        stats = df.groupBy(*by).agg(F.count(column).alias("n"), F.count_distinct(column).alias("d"))
         extra = F.col("n") - F.col("d")
-        return stats.select(F.inline(F.array(_result(i, kind, kw, extra == 0, F.col("d"), extra))))
-    if kind == "unique_proportion":
-        c = F.col(kw["column"])
-        stats = df.agg(F.try_divide(F.count_distinct(c), F.count(c)).alias("p"))
-        return stats.select(F.inline(F.array(
-            _result(i, kind, kw, _within(F.col("p"), kw), F.col("p"), F.lit(0)))))
-    if kind == "compound_unique":
-        stats = compound_duplicates(df, kw["columns"])
-        return stats.select(F.inline(F.array(_result(
-            i, kind, kw, F.col("repeated_rows") == 0, F.col("repeated_keys"), F.col("repeated_rows")))))
-    if kind == "median":
-        stats = exact_quantiles(df, [], kw["column"], {"median": 0.5})
-        return stats.select(F.inline(F.array(
-            _result(i, kind, kw, _within(F.col("median"), kw), F.col("median"), F.lit(0)))))
-    if kind == "increasing":
+        result = _result(i, kind, kw, extra == 0, F.col("d"), extra)
+    elif kind == "unique_proportion":
+        stats = df.groupBy(*by).agg(F.try_divide(F.count_distinct(column), F.count(column)).alias("p"))
+        result = _result(i, kind, kw, _within(F.col("p"), kw), F.col("p"), F.lit(0))
+    elif kind == "compound_unique":
+        stats = compound_duplicates(df, kw["columns"], by)
+        result = _result(i, kind, kw, F.col("repeated_rows") == 0, F.col("repeated_keys"), F.col("repeated_rows"))
+    elif kind == "median":
+        stats = _every_group(df, exact_quantiles(df, by, kw["column"], {"median": 0.5}), by)
+        result = _result(i, kind, kw, _within(F.col("median"), kw), F.col("median"), F.lit(0))
+    else:
         if order is None:
             raise ValueError("an increasing check needs the column that orders the rows")
-        stats = order_breaks(df, order, F.col(kw["column"]))
-        return stats.select(F.inline(F.array(
-            _result(i, kind, kw, F.col("breaks") == 0, F.col("checked"), F.col("breaks")))))
-    return None
+        stats = _every_group(df, order_breaks(df, order, column, by=by), by)
+        breaks = F.coalesce("breaks", F.lit(0))
+        result = _result(i, kind, kw, breaks == 0, F.coalesce("checked", F.lit(0)), breaks)
+    return stats.select(*by, F.inline(F.array(result)))
+
+
+def _every_group(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """``stats`` with a row of nulls for the groups that have no value to measure."""
+    return null_safe_join(df.select(*by).distinct(), stats, by, "left") if by else stats
 
 
-def compound_duplicates(df: DataFrame, columns) -> DataFrame:
-    """One row: keys that occur more than once and the rows that hold them."""
-    groups = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    return groups.agg(F.count_if(F.col("n") > 1).alias("repeated_keys"),
-                      F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated_rows"))
+def compound_duplicates(df: DataFrame, columns, by: list[str] | None = None) -> DataFrame:
+    """One row (per ``by`` group): keys that occur more than once and the rows that hold them."""
+    by = by or []
+    groups = df.groupBy(*by, *columns).agg(F.count("*").alias("n"))
+    return groups.groupBy(*by).agg(F.count_if(F.col("n") > 1).alias("repeated_keys"),
+                                   F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated_rows"))
 
 
-def run_suite(df: DataFrame, suite=SUITE, order: str | None = None) -> DataFrame:
-    """Evaluate a whole suite."""
-    columns = [c for c in df.columns if c != order] if order else df.columns
+def run_suite(df: DataFrame, suite=SUITE, order: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Evaluate a whole suite, or, with ``by``, for every group of those columns."""
+    by = by or []
+    tested = [c for c in df.columns if c != order and c not in by]
     separate = [kind in _SEPARATE and _known(kw, df.columns) for kind, kw in suite]
     frames = []
     if not all(separate):
         # Positions stay those of the suite, so the ids do too.
         shared = [("separate", {}) if own else rule for own, rule in zip(separate, suite)]
-        frames.append(fused_results(df.select(*columns), shared))
-    frames += [_own_frame(df, i, kind, kw, order)
+        frames.append(fused_results(df.select(*tested, *by), shared, by, df.select(*tested).schema))
+    frames += [_own_frame(df, i, kind, kw, order, by)
                for i, (own, (kind, kw)) in enumerate(zip(separate, suite)) if own]
     return reduce(DataFrame.unionByName, frames)
 
@@ -389,9 +396,8 @@ def outlier_pattern_check(df: DataFrame, columns=("views", "likes", "comments"),
     return outlier_counts(df, list(columns), reach)
 
 
-def validate_files(df: DataFrame, suite=SUITE, source: str = "file") -> DataFrame:
-    """Score of every source file; the fused checks run once, grouped by file."""
-    single = [s for s in suite if s[0] not in _SEPARATE]
-    scores = quality_score(fused_results(df, single, [source]), [source])
+def validate_files(df: DataFrame, suite=SUITE, source: str = "file", order: str | None = None) -> DataFrame:
+    """Score of every source file by the whole suite; ``order`` is the column that orders a file's rows."""
+    scores = quality_score(run_suite(df, suite, order, [source]), [source])
     rows = df.groupBy(source).agg(F.count("*").alias("record_count"))
     return scores.join(rows, source)

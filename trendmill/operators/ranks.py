@@ -18,20 +18,29 @@ FINE_BINS = 8192
 COARSE = 512
 
 
+# Doubles reach down to 2^-1074; the shift keeps every magnitude's level above zero.
+_SHIFT = 1080.0
+_INFINITE, _NAN = 1 << 40, (1 << 40) + 1
+
+
 def bin_of(value: Column) -> Column:
-    """Monotone bin number of a numeric value; 0 has its own bin.
+    """Monotone bin number of a numeric value; 0, NaN and the infinities have bins of their own.
 
-    Magnitudes below 2^-40 share the lowest bin of their sign, so the numbering
-    stays on one side of zero.
+    NaN is above +infinity, as it is in Spark's order.
     """
+    number = value.cast("double")
+
     def magnitude(v: Column) -> Column:
-        level = F.floor((F.log2(v.cast("double")) + F.lit(40.0)) * FINE_BINS).cast("long")
+        level = F.floor((F.log2(v) + F.lit(_SHIFT)) * FINE_BINS).cast("long")
         return F.greatest(level, F.lit(0)) + F.lit(1)
 
     return (
-        F.when(value > 0, magnitude(value))
-        .when(value < 0, -magnitude(-value))
-        .when(value == 0, F.lit(0).cast("long"))
+        F.when(F.isnan(number), F.lit(_NAN))
+        .when(number == float("inf"), F.lit(_INFINITE))
+        .when(number == float("-inf"), F.lit(-_INFINITE))
+        .when(number > 0, magnitude(number))
+        .when(number < 0, -magnitude(-number))
+        .when(number == 0, F.lit(0).cast("long"))
     )
 
 
@@ -53,11 +62,11 @@ def _running_bins(counts: DataFrame, keys: list[str]) -> DataFrame:
              .rowsBetween(Window.unboundedPreceding, -1))
     fine = coarse.withColumn("inner_before", F.coalesce(F.sum("n").over(inner), F.lit(0)))
     on = [*keys, "coarse"]
-    joined = fine.join(totals, on) if not keys else _null_safe_join(fine, totals, on)
+    joined = fine.join(totals, on) if not keys else null_safe_join(fine, totals, on)
     return joined.withColumn("before", F.col("coarse_before") + F.col("inner_before"))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
                     small: bool = False) -> DataFrame:
     """Equi-join in which null keys meet; keeps the left side's key columns.
 
@@ -102,13 +111,13 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, positions, few:
         F.min("group_n").alias("group_n"), F.min("before").alias("before"),
         F.collect_list(F.struct("tag", "rank")).alias("wants"))
     counted = (
-        _null_safe_join(known, targets.select(*on), on, "left_semi", small=few)
+        null_safe_join(known, targets.select(*on), on, "left_semi", small=few)
         .groupBy(*on, "value").agg(F.count("*").alias("n"))
     )
     inside = Window.partitionBy(*on).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ordered = counted.withColumn("lower", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return (
-        _null_safe_join(ordered, targets, on)
+        null_safe_join(ordered, targets, on)
         .withColumn("want", F.explode("wants"))
         .withColumn("low", F.col("before") + F.col("lower"))
         .where((F.col("want.rank") >= F.col("low")) & (F.col("want.rank") < F.col("low") + F.col("n")))

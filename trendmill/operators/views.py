@@ -18,11 +18,12 @@ def in_view_order(df: DataFrame, column: str, descending: bool = True) -> DataFr
 
 def traffic(prefix: str = "", whole: str = "total") -> list:
     """Count, sums, means and the maximum every grouped view reports."""
-    out = [F.count("*").alias(f"{prefix}video_count"),
-           F.max("views").alias(f"{prefix}max_views")]
+    out = [F.count("*").alias(f"{prefix}video_count")]
     for column in ("views", "likes", "comments"):
         out.append(F.sum(column).alias(f"{prefix}{whole}_{column}"))
         out.append(F.avg(column).alias(f"{prefix}avg_{column}"))
+        if column == "views":
+            out.append(F.max(column).alias(f"{prefix}max_views"))
     out.append(F.avg("engagement_rate").alias(f"{prefix}avg_engagement_rate"))
     return out
 
@@ -46,11 +47,12 @@ def category_analysis(df: DataFrame) -> DataFrame:
         F.count_distinct("channel_title").alias("unique_channels"),
         F.count_distinct("region_code").alias("regions_covered"),
     )
-    return grouped.withColumn("category_name", category_name(F.col("category_id"), "Other"))
+    name = category_name(F.col("category_id"), "Other").alias("category_name")
+    return grouped.select("category_id", name, *grouped.columns[1:])
 
 
 def regional_analysis(df: DataFrame) -> DataFrame:
-    return (
+    grouped = (
         df.where("region_code IS NOT NULL")
         .groupBy("region_code",
                  F.date_trunc("month", "publish_date").cast("date").alias("publish_month"),
@@ -59,6 +61,8 @@ def regional_analysis(df: DataFrame) -> DataFrame:
              F.count_distinct("category_id").alias("unique_categories"),
              F.count_distinct("channel_title").alias("unique_channels"))
     )
+    months = ["publish_month", "trending_month"]
+    return grouped.select(*[c for c in grouped.columns if c not in months], *months)
 
 
 def time_series_analysis(df: DataFrame) -> DataFrame:

@@ -345,12 +345,11 @@ def run_batch(spark, source: str, target: str, name: str) -> DataFrame:
 
 
 _FILES = ["US", "GB", "IN", "FR", "XX"]
-_SINGLE = [s for s in quality.SUITE if s[0] not in quality._SEPARATE]
 
 
 @query("validate_files", enriched_sql(" UNION ALL ".join(
     f"SELECT '{r}' AS file, {_SCORE}, (SELECT count(*) FROM rows_{r}) AS record_count "
-    f"FROM ({suite_sql(_SINGLE, f'rows_{r}')})" for r in _FILES),
+    f"FROM ({suite_sql(quality.SUITE, f'rows_{r}')})" for r in _FILES),
     ",\n".join(f"rows_{r} AS (SELECT * FROM enriched WHERE region_code = '{r}')" for r in _FILES)),
        doubles="quality_score:2")
 def validate_files(spark, sf):
@@ -360,4 +359,4 @@ def validate_files(spark, sf):
         "folder").parquet(path)
     landed = spark.read.schema(checked(spark, sf).schema).parquet(path).withColumn(
         "file", F.regexp_extract(F.col("_metadata.file_path"), "folder=([A-Z]+)", 1))
-    return quality.validate_files(landed, quality.SUITE)
+    return quality.validate_files(landed, quality.SUITE, order="seq")

@@ -26,9 +26,9 @@ def dashboard_metrics(spark, sf):
 
 @query("daily_views_trend", with_tables("""
 SELECT CAST(publish_date AS DATE) AS date, CAST(sum(views) AS BIGINT) AS views FROM event_videos
-WHERE publish_date >= (SELECT max(publish_date) FROM event_videos) - INTERVAL 7 DAY GROUP BY 1""", "events"))
+WHERE publish_date >= (SELECT max(publish_date) FROM event_videos) - INTERVAL 30 DAY GROUP BY 1""", "events"))
 def daily_views_trend(spark, sf):
-    return metrics.daily_views_trend(event_videos(spark, sf), days=7)
+    return metrics.daily_views_trend(event_videos(spark, sf), days=30)
 
 
 @query("category_performance", enriched_sql(f"""

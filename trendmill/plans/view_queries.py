@@ -14,8 +14,9 @@ AS_OF = "2002-01-01"
 def common(prefix: str = "", whole: str = "total") -> str:
     sums = ", ".join(
         f"CAST(sum({c}) AS BIGINT) AS {prefix}{whole}_{c}, avg({c}) AS {prefix}avg_{c}"
+        + (f", max(views) AS {prefix}max_views" if c == "views" else "")
         for c in ("views", "likes", "comments"))
-    return (f"count(*) AS {prefix}video_count, max(views) AS {prefix}max_views, {sums}, "
+    return (f"count(*) AS {prefix}video_count, {sums}, "
             f"avg(engagement_rate) AS {prefix}avg_engagement_rate")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +31,30 @@ def _first_line(spark: SparkSession, path: str) -> str:
     return rows[0][0].strip() if rows else ""
 
 
+def _is_record(line: str) -> bool:
+    """Whether the line is a whole JSON object, as in a file of one object per line."""
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
 def load_any_format(spark: SparkSession, path: str, schema: T.StructType = JOB_INPUT) -> DataFrame:
-    """Parquet if it opens as Parquet, else JSON lines, else CSV with a header; typed to ``schema``."""
+    """Parquet if it opens as Parquet, else JSON (lines, arrays or documents over several lines), else CSV with a header; typed to ``schema``."""
     try:
         return _typed(spark.read.parquet(path), schema)
     except ValueError:
         raise
-    except Exception as error:  # not Parquet: Spark says so while reading a footer
-        if "PATH_NOT_FOUND" in str(error):
+    except Exception as error:  # Spark says while reading a footer that it isn't Parquet
+        if "is not a Parquet file" not in str(error):
+            raise
+        start = _first_line(spark, path)
+        if start.startswith("PAR1"):  # it was meant to be: cut off or damaged
             raise
-    start = _first_line(spark, path)
     if start.startswith(("{", "[")):
-        # A declared text schema saves the inference pass over all files.
-        return _typed(spark.read.schema(_text_schema(schema)).json(path), schema)
+        # A declared text schema saves the inference pass over all files; what isn't JSON is refused.
+        reader = spark.read.schema(_text_schema(schema)).option("mode", "FAILFAST")
+        return _typed(reader.option("multiLine", not _is_record(start)).json(path), schema)
     if "," in start:
         return _typed(spark.read.option("header", True).option("escape", '"').csv(path), schema)
     raise ValueError(f"could not read {path} in any supported format")

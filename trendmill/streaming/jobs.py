@@ -8,6 +8,8 @@ driver or executor continues where it stopped.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +37,17 @@ def stream_json_to_parquet(spark: SparkSession, landing: str, target: str, schem
 
 
 def stream_validate(spark: SparkSession, landing: str, target: str, schema: T.StructType,
-                    suite=quality.TABLE_RULES, files_per_batch: int = 1,
+                    suite=quality.SUITE, order: str | None = None, files_per_batch: int = 1,
                     checkpoint: str | None = None) -> DataFrame:
-    """Every new batch of files is scored by the suite; one report row per batch.
+    """Every new batch of files is scored by the whole suite; one report row per batch.
+
+    ``order`` is the column that orders the rows, for suites with an order check.
 
     The report folder carries the batch number and is overwritten, so a batch
     that is replayed after a failure does not report twice.
     """
     def score(batch: DataFrame, number: int) -> None:
-        results = quality.run_suite(batch, suite, order=None)
+        results = quality.run_suite(batch, suite, order)
         report = quality.quality_score(results).withColumns({
             "record_count": batch.agg(F.count("*")).scalar()})
         report.write.mode("overwrite").parquet(f"{target}/batch={number}")
@@ -87,11 +91,24 @@ def stream_daily_views(spark: SparkSession, landing: str, target: str, schema: T
 
 
 def stream_dedup(spark: SparkSession, landing: str, target: str, schema: T.StructType, keys,
-                 time_column: str, horizon: str = "48 hours", checkpoint: str | None = None) -> DataFrame:
-    """First arrival of each key; keys are remembered for ``horizon`` of event time."""
-    rows = spark.readStream.schema(schema).parquet(landing).where(F.col(time_column).isNotNull())
-    timed = rows.withColumn("_ts", F.col(time_column).cast("timestamp")).withWatermark("_ts", horizon)
-    unique = timed.dropDuplicatesWithinWatermark(list(keys)).drop("_ts")
-    (_now(unique, _checkpoint(spark, checkpoint)).format("parquet").option("path", target)
-     .start().awaitTermination())
-    return spark.read.schema(unique.schema).parquet(target)
+                 checkpoint: str | None = None) -> DataFrame:
+    """First arrival of each key, however late and with whatever nulls.
+
+    A batch is compared with the keys already written, so nothing is kept in memory and nothing is
+    forgotten.  Each batch writes its own folder, which a replay after a failure overwrites.
+    """
+    keys = list(keys)
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        unique = batch.dropDuplicates(keys)
+        if number:
+            written = [f"{target}/batch={n}" for n in range(number)]
+            seen = session.read.schema(schema).parquet(*written).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            unique = unique.join(seen, same, "left_anti")
+        unique.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    rows = spark.readStream.schema(schema).parquet(landing)
+    _now(rows, _checkpoint(spark, checkpoint)).foreachBatch(add).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)
