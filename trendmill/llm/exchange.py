@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trendmill.llm.common import chunks, shuffle_partitions
 
 #: Text a task packs at once, and text per bucket.  More of the first makes longer rows on huge inputs.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 48 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 48 << 20
 _ANCHOR, _MANY, _INDEX = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1)
 _DOCUMENTS, _ENTRIES, _HITS = 0, 1, 2
 

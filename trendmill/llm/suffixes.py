@@ -32,12 +32,12 @@ from trendmill.llm.exchange import (
 from trendmill.session import materialise
 
 _PLACE = np.uint64((1 << 28) - 1)
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _LAST = (1 << 63) - 1
 
 
 def representatives(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
-    """Starts of all windows of ``width`` bytes inside one text, each one's representative place, and its hash.
+    """Pieces of: starts of all windows of ``width`` bytes inside one text, their representatives' places and hashes.
 
     The representative is the leftmost of the least hashes among the window's strings of ``gram`` bytes.
     """
@@ -45,8 +45,8 @@ def representatives(data: np.ndarray, offsets: np.ndarray, width: int, gram: int
     scale = tokens.powers(base, min(len(data), _PIECE + width) + 1)
     inverse = tokens.powers(np.uint64(pow(int(base), -1, 1 << 64)), len(scale))
     span = width - gram + 1
-    ends = np.repeat(offsets[1:], np.diff(offsets)) if len(data) else offsets[:0]
-    starts, places, hashes = [], [], []
+    ends = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets)) if len(data) < 1 << 31 else np.repeat(
+        offsets[1:], np.diff(offsets))
     for begin in range(0, max(0, len(data) - width + 1), _PIECE):
         end = min(begin + _PIECE, len(data) - width + 1)
         piece = data[begin:end + width - 1]
@@ -60,21 +60,19 @@ def representatives(data: np.ndarray, offsets: np.ndarray, width: int, gram: int
         least = np.minimum(least[:end - begin], least[span - reach:span - reach + end - begin])
         inside = np.flatnonzero(np.arange(begin, end) + width <= ends[begin:end])
         place = (least[inside] & _PLACE).astype(np.int64)
-        starts.append(inside + begin)
-        places.append(place + begin)
-        hashes.append(value[place])
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(places), np.concatenate(hashes)
+        yield inside + begin, place + begin, value[place]
 
 
 def _anchors(piece: pa.RecordBatch, width: int, gram: int):
     data, offsets = utf8(piece.column("__text"))
-    _, places, hashes = representatives(data, offsets, width, gram)
-    new = np.flatnonzero(np.diff(places, prepend=-1) != 0)  # places ascend with the windows
-    hashes = hashes[new]
-    return (places[new], (hashes >> np.uint64(32)).astype(np.uint32), hashes & np.uint64(0xFFFFFFFF),
-            np.ones(len(new), bool), offsets[:-1])
+    found, last = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], -1
+    for _, places, hashes in representatives(data, offsets, width, gram):
+        new = np.flatnonzero(np.diff(places, prepend=last) != 0)  # places ascend with the windows
+        last = places[-1] if len(places) else last
+        found.append((places[new], hashes[new]))
+    places, hashes = map(np.concatenate, zip(*found))
+    return (places, (hashes >> np.uint64(32)).astype(np.uint32), hashes & np.uint64(0xFFFFFFFF),
+            np.ones(len(places), bool), offsets[:-1])
 
 
 _META = np.dtype([("hash", "<u8"), ("id", "<i8"), ("content", "<i8"), ("start", "<i8"), ("count", "<i8")])
@@ -87,15 +85,16 @@ def _snippets(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets:
     to negative buckets without bytes.
     """
     for batch in batches:
-        for piece in chunks(batch, "__text", 4 << 20):
+        for piece in chunks(batch, "__text", 2 << 20):
             data, offsets = utf8(piece.column("__text"))
-            starts, places, hashes = representatives(data, offsets, width, gram)
             wanted = np.zeros(len(data) + 1, bool)
             for i, runs in enumerate(piece.column("__runs")):
                 begin, end = offsets[i], offsets[i + 1]
                 wanted[begin:end] = covered(np.frombuffer(runs.as_buffer(), np.int64), 0, 0, end - begin)
-            kept = wanted[places]
-            starts, places, hashes = starts[kept], places[kept], hashes[kept]
+            found = [tuple(x[wanted[part[1]]] for x in part) for part in representatives(data, offsets, width, gram)]
+            if not found:
+                continue
+            starts, places, hashes = map(np.concatenate, zip(*found))
             if not len(starts):
                 continue
             heads = np.flatnonzero(np.append(True, (np.diff(places) != 0) | (np.diff(starts) != 1)))
@@ -301,7 +300,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100, gram: int = 40, tex
     hits = materialise(repeated_units(rows, partial(_anchors, width=width, gram=gram), "u4", buckets), "anchors")
     free_shuffles(spark)
     pieces = join_runs(rows, hits, "inner").mapInArrow(
-        partial(_snippets, width=width, gram=gram, buckets=4 * buckets), "bucket int, meta binary, bytes binary")
+        partial(_snippets, width=width, gram=gram, buckets=8 * buckets), "bucket int, meta binary, bytes binary")
     runs = materialise(pieces.groupBy("bucket").applyInArrow(
         lambda key, table: _repeats(key, table, width), "id long, content long, start long, count long"), "repeats")
     free_shuffles(spark)
