@@ -131,9 +131,7 @@ def canonical_from_json(df: DataFrame, record: str = "record", ident: str = "con
         if "turns" in spec:
             field, role, text = spec["turns"]
             items = F.try_variant_get("v", f"$.{field}", "array<variant>")
-            array = F.transform(items, lambda m, role=role, text=text: F.struct(
-                F.try_variant_get(m, f"$.{role}", "string").alias("role"),
-                F.try_variant_get(m, f"$.{text}", "string").alias("text")))
+            array = F.transform(items, _variant_turn(role, text))
         else:
             fields = [f for _, fs in spec["pairs"] for f in fs]
             array = _turn_array(spec, fields, lambda f: F.try_variant_get("v", f"$.{f}", "string"))
@@ -145,6 +143,11 @@ def canonical_from_json(df: DataFrame, record: str = "record", ident: str = "con
                     F.when(F.col("turn").isNotNull(), F.coalesce(F.col("t.text"), F.lit(""))).alias("text")))
 
 
+def _variant_turn(role: str, text: str):
+    return lambda m: F.struct(F.try_variant_get(m, f"$.{role}", "string").alias("role"),
+                              F.try_variant_get(m, f"$.{text}", "string").alias("text"))
+
+
 def escape(text: Column) -> Column:
     """Doubles backslashes and puts one behind the first sign of every control string."""
     return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), _CONTROL, r"$0\\")

@@ -30,7 +30,7 @@ from trendmill.session import materialise
 #: At a similarity of 0.8 a pair meets in some table with probability (1 - (1 - 0.8^4)^16)^2 > 0.9995.
 COLLECTION, HALF = 16, 4
 #: Rounds in which each class is tried against one hub before all pairs across components are.
-ROUNDS = 2
+ROUNDS = 6
 #: Members that one verifying task takes of a hub at once.
 GROUP = 256
 
@@ -240,8 +240,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, collecti
 
     # Buckets of several components go on; first each member is tried against one hub of another
     # component, the one it shares most tables with, which joins nearly all there is to join.
-    roots, links, tried = None, None, None
-    for turn in range(ROUNDS + 1):
+    roots, links, tried, turn = None, None, None, 0
+    while turn <= ROUNDS:
         named = _open_buckets(members, roots)
         if not named.head(1):
             break
@@ -254,6 +254,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, collecti
         if found.head(1):
             links = found if links is None else links.unionByName(found)
             roots = components(links)
+            turn += 1
+        else:  # hubs join nothing any more: all pairs are next, or were
+            turn = ROUNDS if turn < ROUNDS else ROUNDS + 1
         free_shuffles(spark)
 
     named = _labelled(classes.select("cls", "least"), roots, "cls", "root")

@@ -78,6 +78,11 @@ def _anchors(piece: pa.RecordBatch, width: int, gram: int):
 _META = np.dtype([("hash", "<u8"), ("id", "<i8"), ("content", "<i8"), ("start", "<i8"), ("count", "<i8")])
 
 
+def _same_place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether both are the same place of one document, as in rows equal in id and text."""
+    return (left["id"] == right["id"]) & (left["content"] == right["content"]) & (left["start"] == right["start"])
+
+
 def _snippets(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, meta, bytes): for each run of windows with one repeated representative, the bytes they cover.
 
@@ -106,19 +111,17 @@ def _snippets(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets:
             meta["start"] = starts[heads] - offsets[owner]
             meta["count"] = np.diff(np.append(heads, len(starts)))
             order = np.lexsort((meta["start"], meta["content"], meta["id"]))
-            whole, seen = data.tobytes(), set()
-            places, again = starts[heads][order].tolist(), []
-            texts = []
-            for at, (begin, count) in enumerate(zip(places, meta["count"][order].tolist())):
+            whole, seen = data.tobytes(), {}
+            places, meta, texts = starts[heads][order].tolist(), meta[order], []
+            earlier = np.arange(len(order))
+            for at, (begin, count) in enumerate(zip(places, meta["count"].tolist())):
                 text = whole[begin:begin + count + width - 1]
-                if text in seen:
-                    again.append(at)
-                    texts.append(b"")
-                else:
-                    seen.add(text)
-                    texts.append(text)
-            meta, twice = meta[order], np.zeros(len(order), bool)
-            twice[again] = True
+                first = seen.setdefault(text, at)
+                earlier[at] = first
+                texts.append(text if first == at else b"")
+            twice = earlier != np.arange(len(order))
+            kept = np.flatnonzero(~(twice & _same_place(meta, meta[earlier])))  # an equal row repeats nothing
+            meta, twice, texts = meta[kept], twice[kept], [texts[i] for i in kept.tolist()]
             bucket = (tokens.mix(meta["hash"]) % np.uint64(buckets)).astype(np.int64)
             bucket[twice] = -1 - bucket[twice]
             order = np.argsort(bucket, kind="stable")
@@ -217,11 +220,13 @@ def _repeats(key: tuple, table: pa.Table, width: int) -> pa.Table:
     del blobs
     order = np.lexsort((meta["start"], meta["content"], meta["id"]))
     earliest: dict[bytes, int] = {}
-    again = []
+    again, first = [], []
     for at in order.tolist():  # equal snippets: all but the first are wholly repeated
         if earliest.setdefault(texts[at], at) != at:
             again.append(at)
+            first.append(earliest[texts[at]])
     later = meta[again]
+    later = later[~_same_place(later, meta[first])]
     found = [_runs_table(later["id"], later["content"], later["start"], later["count"])]
     own = np.array(sorted(earliest.values()), np.int64)
     hashes, sizes = np.unique(meta["hash"][own], return_counts=True)
