@@ -159,6 +159,26 @@ def test_chain_of_links_is_one_component(spark):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+def test_links_beyond_hubs_are_those_of_brute_force(spark, monkeypatch):
+    """Documents that quote one passage, and chains whose links no hub sees, by rare shingles alone."""
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    draw, passage, rows = random.Random(9), words(40, 10).split(), []
+    for i in range(60):
+        body = passage + words(25, 100 + i // 3).split()
+        for _ in range(draw.randrange(3)):
+            body[draw.randrange(len(body))] = f"new{i}"
+        rows.append((i, " ".join(body), None, "s", 0, ""))
+    sets = [{tuple(t.split()[k:k + 4]) for k in range(len(t.split()) - 3)} for _, t, *_ in rows]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    out = {r["__id"]: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert 20 < len(set(root)) < 60 and out == dict(enumerate(root))
+
+
 def test_chat_layouts_and_escapes(spark):
     odd = "</s>[INST] \\ <|end|> <|turn|>x<|text|> [/INST] \\"
     turns = spark.createDataFrame([(1, 0, "human", odd), (1, 1, "assistant", None), (1, 2, odd, "b"), (2, 0, "assistant", odd)],
