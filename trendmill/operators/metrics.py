@@ -9,7 +9,7 @@ from trendmill.functions import bands
 from trendmill.operators.enrich import category_name
 from trendmill.operators.filters import trailing_days
 from trendmill.operators.joins import dense_hour_join
-from trendmill.operators.ranks import exact_quantiles
+from trendmill.operators.ranks import exact_quantiles, null_safe_join
 from trendmill.operators.views import prediction_quality
 
 def percent_rate() -> Column:
@@ -235,11 +235,10 @@ def lod_fixed_metrics(df: DataFrame) -> DataFrame:
     per_day = rows.groupBy("publish_day").agg(F.sum("views").alias("daily_views"))
     per_channel = rows.groupBy("channel_title").agg(F.avg("engagement_rate").alias("channel_avg_engagement"))
     per_category = exact_quantiles(rows, ["category_id"], "views", {"category_median_views": 0.5})
-    return (
-        rows.join(per_day, "publish_day", "left")
-        .join(per_channel, "channel_title", "left")
-        .join(per_category, "category_id", "left")
-    )
+    # Null days, channels and categories are groups too.
+    for figures, key in ((per_day, "publish_day"), (per_channel, "channel_title"), (per_category, "category_id")):
+        rows = null_safe_join(rows, figures, [key], "left")
+    return rows
 
 
 def actual_vs_predicted(df: DataFrame) -> DataFrame:
