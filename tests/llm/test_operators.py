@@ -168,7 +168,7 @@ def test_links_beyond_hubs_are_those_of_brute_force(spark, monkeypatch):
         for _ in range(draw.randrange(3)):
             body[draw.randrange(len(body))] = f"new{i}"
         rows.append((i, " ".join(body), None, "s", 0, ""))
-    sets = [{tuple(t.split()[k:k + 4]) for k in range(len(t.split()) - 3)} for _, t, *_ in rows]
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for _, t, *_ in rows]
     root = list(range(60))
     for a in range(60):
         for b in range(a):

@@ -271,7 +271,7 @@ def _labelled(rows: DataFrame, roots: DataFrame | None, column: str, out: str) -
     return rows.join(names, column, "left").withColumn(out, F.coalesce("__root", column)).drop("__root")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, collection: int = COLLECTION, half: int = HALF,
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, collection: int = COLLECTION, half: int = HALF,
                     text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: __id, __content, n_shingles, component and component_id.
 

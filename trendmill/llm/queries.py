@@ -89,8 +89,8 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.OP8)
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents."""
-    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    """Near-duplicate classes of all documents by shingles of four words."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
     return found.select(F.col("__id").alias("doc_id"), "n_shingles", "component_id",
                         F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
 
