@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from statistics import fmean, pstdev
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -11,7 +12,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +52,22 @@ def classifier(kind: str, rows: int, trees: int = 100, depth: int = 20, iteratio
     raise ValueError(f"Unsupported classifier type: {kind}")
 
 
+def _fit(train: DataFrame, learner) -> list:
+    """Vocabulary, weights and learner, all fitted on ``train`` alone."""
+    stages = fit_tfidf(train)
+    # Iterative fits read this frame many times.
+    inputs = PipelineModel(stages).transform(train).select("features", "label").persist()
+    try:
+        return [*stages, learner.fit(inputs)]
+    finally:
+        inputs.unpersist()
+
+
 def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, key: str = "video_id",
                      **size) -> TextModel:
     """Stratified 80/20 split, cross-validated accuracy on the training side, figures on the test side.
 
-    ``folds=0`` skips the cross-validation.
+    Each fold learns its own vocabulary and weights.  ``folds=0`` skips the cross-validation.
     """
     rows = mark_train(training_set(df), key, "category_id", few=True).withColumn("terms", terms(F.col("tokens")))
     rows = with_folds(rows, key, max(folds, 1)).persist()
@@ -67,24 +78,16 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
         # At most fifteen labels.
         labels = [str(r[0]) for r in rows.select("category_id").distinct().orderBy("category_id").collect()]
         train, test = rows.where("is_train"), rows.where("NOT is_train")
-        stages = fit_tfidf(train)
-        vectors = PipelineModel(stages)
         accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
         learner = classifier(kind, sizes.get(True, 0), **size)
-        # Iterative fits read this frame many times.
-        inputs = vectors.transform(train).select("features", "fold", F.col("label").cast("double")).persist()
         cross = {}
         if folds > 1:
-            search = CrossValidator(
-                estimator=learner, estimatorParamMaps=ParamGridBuilder().build(), evaluator=accuracy,
-                numFolds=folds, foldCol="fold", parallelism=2).fit(inputs)
-            best = search.bestModel
-            cross = {"cv_mean_accuracy": float(search.avgMetrics[0]), "cv_std_accuracy": float(search.stdMetrics[0])}
-        else:
-            best = learner.fit(inputs)
-        inputs.unpersist()
+            scores = [accuracy.evaluate(PipelineModel(_fit(train.where(F.col("fold") != k), learner))
+                                        .transform(train.where(F.col("fold") == k))) for k in range(folds)]
+            cross = {"cv_mean_accuracy": fmean(scores), "cv_std_accuracy": pstdev(scores)}
+        stages = _fit(train, learner)
         back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-        model = TextModel(kind, PipelineModel([*stages, best, back]))
+        model = TextModel(kind, PipelineModel([*stages, back]))
         scored = model.pipeline.transform(test).withColumn("predicted", F.col("predicted_label").cast("int"))
         figures = classification_metrics(scored, "category_id", "predicted").first().asDict()
         model.metrics = {

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, Normalizer,
-)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,12 +65,11 @@ def terms(tokens: Column) -> Column:
     return F.concat(tokens, F.when(F.size(tokens) > 1, pairs).otherwise(none))
 
 
-def tfidf_weights(df: DataFrame, key: str, tokens: str = "tokens", max_terms: int = MAX_TERMS,
-                  min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """Length-one tf-idf weights as rows ``(key, term, weight)``.
+def vocabulary(df: DataFrame, tokens: str = "tokens", max_terms: int = MAX_TERMS,
+               min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+    """(term, idf, total): the ``max_terms`` most frequent terms; ties go to the smaller term.
 
-    idf = ln((1 + n) / (1 + df)) + 1.  The vocabulary holds at most ``max_terms``
-    terms, which bounds the broadcast.
+    idf = ln((1 + n) / (1 + df)) + 1.
     """
     n = df.agg(F.count("*")).scalar()
     every = terms(F.col(tokens))
@@ -81,17 +78,26 @@ def tfidf_weights(df: DataFrame, key: str, tokens: str = "tokens", max_terms: in
     hits = F.transform(every, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     firsts = F.transform(F.array_distinct(every),
                          lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    vocabulary = (
+    return (
         df.select(F.inline(F.concat(hits, firsts)))
         .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
         .where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df)))
         .orderBy(F.desc("total"), "term").limit(max_terms)
-        .select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+        .select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"), "total")
     )
+
+
+def tfidf_weights(df: DataFrame, key: str, tokens: str = "tokens", max_terms: int = MAX_TERMS,
+                  min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+    """Length-one tf-idf weights as rows ``(key, term, weight)``.
+
+    The vocabulary holds at most ``max_terms`` terms, which bounds the broadcast.
+    """
+    known = vocabulary(df, tokens, max_terms, min_df, max_df).select("term", "idf")
     # Terms outside the vocabulary are gone before anything is shuffled.
     raw = (
-        df.select(key, F.explode(every).alias("term"))
-        .join(F.broadcast(vocabulary), "term")
+        df.select(key, F.explode(terms(F.col(tokens))).alias("term"))
+        .join(F.broadcast(known), "term")
         .groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("raw"))
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
@@ -99,15 +105,14 @@ def tfidf_weights(df: DataFrame, key: str, tokens: str = "tokens", max_terms: in
 
 
 def fit_tfidf(train: DataFrame, tokens: str = "tokens", out: str = "features"):
-    """Fitted ML stages giving the same weights as vectors, and the term column they read.
+    """ML stages over ``vocabulary(train)``, giving the weights of ``tfidf_weights`` as vectors.
 
-    Spark's idf lacks the ``+ 1``; scaling the counts by ``idf + 1`` adds it.
+    The stages read a column ``terms``.  At most ``MAX_TERMS`` rows come to the driver.
     """
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=MAX_TERMS,
-                              minDF=MIN_DF, maxDF=MAX_DF).fit(train)
-    counts = counter.transform(train)
-    idf = IDF(inputCol="tf", outputCol="idf").fit(counts)
-    weights = Vectors.dense(idf.idf.toArray() + 1.0)
+    known = vocabulary(train, tokens).orderBy(F.desc("total"), "term").collect()
+    if not known:
+        raise ValueError("No term occurs often enough")
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms", outputCol="tf")
     return [counter,
-            ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=weights),
+            ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense([r["idf"] for r in known])),
             Normalizer(inputCol="weighted", outputCol=out, p=2.0)]
