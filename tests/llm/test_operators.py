@@ -123,6 +123,28 @@ def test_language_on_held_out_documents(spark, data, docs, empty):
     assert language.identify(docs, language.learn(empty), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_from_distinct_texts(spark):
+    """Copies that are most of a language, or all of it, count once."""
+    vocabulary = {name: words(400, 700 + i).split() for i, name in enumerate(("aa", "bb", "cc"))}
+
+    def text(name, seed):
+        return " ".join(random.Random(seed).choice(vocabulary[name]) + name for _ in range(40))
+
+    apart = {name: [text(name, 1000 * i + k) for k in range(60)] for i, name in enumerate(("aa", "bb"))}
+    rows = [(t, name) for name, texts in apart.items() for t in texts]
+    for copied in ("copied one", "copied two", "copied three"):  # drawn or not, the other texts are learnt from
+        labelled = spark.createDataFrame(rows + [(copied, "aa")] * 3000, "text string, lang string")
+        model = language.learn(labelled, documents_per_language=61)
+        once = language.learn(labelled.distinct(), documents_per_language=61)
+        assert model.langs == once.langs and (model.table == once.table).all() and model.by_chance.min() > 0
+    only = "zq " + text("cc", 1)
+    labelled = spark.createDataFrame(rows + [(only, "cc")] * 5000, "text string, lang string")
+    model = language.learn(labelled, documents_per_language=100)
+    asked = spark.createDataFrame([(0, only), (1, apart["aa"][0])], "i long, text string")
+    out = language.identify(asked, model, ["i"]).orderBy("i").collect()
+    assert [r.lang_pred for r in out] == ["cc", "aa"]
+
+
 def test_frequent_lines_deplete_documents(spark, empty):
     rows = [(i, f"{words(60, i)}\nCommon line {i} here", None, "h", 0, "") for i in range(14)]
     rows += [(20, "common LINE 3   here\n" * 20 + words(55, 99), None, "h", 0, ""), (21, None, None, None, 0, "")]

@@ -59,20 +59,36 @@ def _places(hashes: np.ndarray) -> Iterator[np.ndarray]:
         yield ((hashes >> np.uint64(TABLE_BITS * i)) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
 
 
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's first row of every (lang, content); what it remembers is bounded by the sample."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        keys, new = list(zip(batch.column("lang").to_pylist(), batch.column("content").to_pylist())), []
+        for i, key in enumerate(keys):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        if new:
+            yield batch.take(pa.array(new, pa.int64()))
+
+
 def _gram_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, documents) of each task: how many of its documents have the n-gram."""
+    """(lang, gram, documents) of each task: how many of its documents have the n-gram; all of them for gram null."""
     seen: dict[str, Counter] = {}
+    sizes: Counter = Counter()
     for batch in batches:
         for piece in chunks(batch, "text"):
             hashes, owner = grams(*utf8(piece.column("text")))
             langs = piece.column("lang").to_pylist()
+            sizes.update(langs)
             bounds = np.searchsorted(owner, np.arange(len(langs) + 1))
             for i, lang in enumerate(langs):
                 seen.setdefault(lang, Counter()).update(np.unique(hashes[bounds[i]:bounds[i + 1]]).tolist())
     for lang, counts in seen.items():
         values = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(list(counts.values()), pa.int64())],
+            [pa.array([lang] * (len(values) + 1), pa.string()), pa.array([*values.tolist(), None], pa.int64()),
+             pa.array([*counts.values(), sizes[lang]], pa.int64())],
             ["lang", "gram", "documents"])
 
 
@@ -110,29 +126,39 @@ def learn(labelled: DataFrame, documents_per_language: int = 2000, least_share:
           text: str = "text", lang: str = "lang") -> LanguageModel:
     """Filters of the n-grams that at least ``least_share`` of a language's documents have, twice or more.
 
-    ``documents_per_language`` bounds (in the mean; documents are taken by hash of their text, up to
-    that many) what is read for learning; whole texts are used.  Null labels and texts teach nothing;
-    without any labelled row there is no language and every prediction is ``und``.
+    Copies of a text under one label are one document, here and in all counts.  ``documents_per_language``
+    bounds (in the mean; documents are taken by hash of their text, up to that many) what is learnt from;
+    whole texts are used.  A language with few documents that share no n-gram, as with a single one, has
+    all their n-grams.  Null labels and texts teach nothing; without any labelled row there is no language
+    and every prediction is ``und``.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("content", F.xxhash64("text"))
+    counts = {r.lang: r["count"] for r in rows.select("lang", "content").distinct().groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((1, 1 << TABLE_BITS), np.uint64))
     chosen = F.lit(False)
     for name, n in counts.items():
         take = int(min(1.0, documents_per_language / n) * (1 << 31))
-        chosen = chosen | ((F.col("lang") == name) & (F.shiftrightunsigned(F.xxhash64("text"), 33) < take))
-    sample = rows.where(chosen)
+        chosen = chosen | ((F.col("lang") == name) & (F.shiftrightunsigned("content", 33) < take))
+    # One row per text: first in each task, so a million copies send one row a task.
+    sample = (rows.where(chosen).mapInArrow(_first_copies, "text string, lang string, content long")
+              .dropDuplicates(["lang", "content"]))
+    few = [name for name, n in counts.items() if least_share * min(n, documents_per_language) < 2]
     sums = materialise(sample.mapInArrow(_gram_documents, "lang string, gram long, documents long")
                        .groupBy("lang", "gram").agg(F.sum("documents").alias("documents"))
-                       .where(F.col("documents") >= 2), "grams")
-    sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+                       .where((F.col("documents") >= 2) | F.col("gram").isNull() | F.col("lang").isin(few)), "grams")
+    sizes = {r.lang: r.documents for r in sums.where("gram IS NULL").collect()}
     table = np.zeros((-(-len(langs) // 64), 1 << TABLE_BITS), np.uint64)
     for i, name in enumerate(langs):
         # Bounded by the sample: an n-gram needs a fixed share of the sampled documents.
-        found = sums.where((F.col("lang") == name) & (F.col("documents") >= least_share * sizes.get(name, 0)))
-        hashes = np.array([r.gram for r in found.select("gram").collect()], np.int64).view(np.uint64)
+        own = sums.where((F.col("lang") == name) & F.col("gram").isNotNull())
+        least = max(2, least_share * sizes.get(name, 0))
+        found = own.where(F.col("documents") >= least).select("gram").collect()
+        if not found and name in few:
+            found = own.select("gram").collect()
+        hashes = np.array([r.gram for r in found], np.int64).view(np.uint64)
         word, bit = divmod(i, 64)
         for place in _places(hashes):
             np.bitwise_or.at(table[word], place, np.uint64(1) << np.uint64(bit))
