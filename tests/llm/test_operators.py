@@ -246,6 +246,28 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+PARAGRAPHS = "".join(f"<p>{words(25, 800 + i)}</p>" for i in range(4))
+PLAIN = "\n".join(words(25, 800 + i) for i in range(4))
+
+
+@pytest.mark.parametrize("page, text", [
+    *((f"<body><nav>menu</nav><div class='{name}'>{PARAGRAPHS}</div><div class='sidebar'>s</div></body>", PLAIN)
+      for name in ("content has-sidebar", "no-sidebar", "hidden-xs", "post-with-comments", "main-search")),
+    ("<p class='ad'>x<p>article", "article"), ("<p class='ad'><b>x<p>article", "article"),
+    ("<p class='notice'>x<div>article</div>", "article"), ("<ul><li class='ad'>x<li>one</ul>", "one"),
+    ("<div class='topics'>" + "".join(f"<p><a href='/{i}'>Topic number {i}</a></p>" for i in range(9))
+     + f"</div><div>{PARAGRAPHS}</div>", PLAIN),
+    ("<div>Home</div><div>News</div><div>Sport</div><div>About us</div>" + "<h1>T</h1>" + PARAGRAPHS
+     + "<div>Terms</div><div>Privacy</div><div>Jobs</div><div>Contact</div>", "T\n" + PLAIN),
+    (f"<article>{words(3, 1)}</article><div>{PARAGRAPHS}</div>", PLAIN),
+    (f"<form><div>{PARAGRAPHS}</div></form>", PLAIN),
+    (f"<article>{PARAGRAPHS}<p>a<p>b<p>c<p>d</article>", PLAIN + "\na\nb\nc\nd"),
+    (f"<div>{PARAGRAPHS}<p>2 eggs<p>salt<p>milk<p>rice{PARAGRAPHS}</div>", f"{PLAIN}\n2 eggs\nsalt\nmilk\nrice\n{PLAIN}"),
+])
+def test_main_text_is_where_text_is_dense(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, data):
     import corpus_pipeline
 

@@ -1,8 +1,9 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped so that every block of text is a line and whatever is not content (menus, forms,
-adverts, scripts ...) leaves empty lines.  The text length over a sliding window of lines surges where
-the content begins and dives where it ends; the text between stays.
+Markup is stripped so that every block of text is a line.  What a line weighs is its length without the
+text of links.  The weight of a sliding window of lines surges where the content begins and dives where it
+ends; the text between stays.  Elements that are no content by their name, or whose class is named as such
+outright, are left out; other mentions in a class only make the text lighter.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd",
           "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
           "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th",
           "thead", "tr", "ul", "aside", "menu", "dialog", "title", "head"}
-#: Words in class, id or role that mark what is no article; whole words, split at signs and case.
+#: Words in class, id or role that mark what is no article; classes are split at signs and case.
 _NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo",
           "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "nav",
           "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "comment",
@@ -36,57 +38,162 @@ _NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spo
           "newsletter", "subscribe", "subscription", "signup", "login", "search", "widget", "toolbar", "pagination",
           "pager", "copyright", "disclaimer", "masthead", "complementary", "contentinfo", "skip", "hidden"}
 _HEADER = {"header", "topbar"}
+#: Words that hide or mark nothing unless they are a class of their own (hidden-xs, skip-lines).
+_ALONE = {"hidden", "skip"}
+#: Words before which a noise word tells what else is or isn't on the page.
+_ABOUT = {"no", "not", "has", "with", "without", "hide"}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES_P = _BLOCK - {"html", "body"}
-#: Lines of the sliding window, and the empty lines that what is no content leaves.
-WINDOW, GAP = 3, 6
+#: Elements that end at the next one of these, up to these around them.
+_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: Lines of the sliding window; the weight at which it surges and dives, at most and as a share of the heaviest.
+WINDOW, SURGE, DIVE, SURGE_SHARE, DIVE_SHARE = 3, 86, 45, 1 / 4, 1 / 8
+#: The weight of text under a class that mentions noise, and the share of the rest that an article has to weigh.
+LIGHT, ARTICLE = 0.25, 0.25
+_CONTENT, _MENTION, _NO_CONTENT, _HIDDEN = range(4)
 
 
-def _is_noise(name: str, attributes: str) -> bool:
-    if name in _ASIDE:
-        return True
+def _class_kind(name: str, value: str) -> int:
+    """What a class, id or role says: noise if a class is a listed word, or its first class begins with one."""
+    kind = _CONTENT
+    for at, single in enumerate(value.strip("\"'").split()):
+        parts = [p.lower() for p in _PART.findall(single)]
+        for i, part in enumerate(parts):
+            if not (part in _NOISE or part in _HEADER and name != "h1"):
+                continue
+            if len(parts) == 1 or at == i == 0 and part not in _ALONE:
+                return _NO_CONTENT
+            if part not in _ALONE and not _ABOUT & set(parts[:i]):
+                kind = _MENTION
+    return kind
+
+
+def _kind(name: str, attributes: str) -> int:
+    kind = _NO_CONTENT if name in _ASIDE else _CONTENT
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return kind
     for key, value in _ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and "true" in value:
-            return True
+            return _HIDDEN
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return _HIDDEN
         if key in ("class", "id", "role", "itemtype"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & _NOISE or parts & _HEADER and name != "h1":
-                return True
-    return False
+            kind = max(kind, _class_kind(name, value))
+    return kind
+
+
+class _Line(NamedTuple):
+    text: str = ""
+    weight: float = 0.0
+    inside: bool = False  # an article element
+    heading: bool = False
+
+
+class _Open(NamedTuple):
+    name: str
+    noise: bool
+    light: bool
+    article: bool
+    link: bool
 
 
-class _Lines:
-    """Lines of text, each with a mark of whether it stands inside an article element."""
+class _Page:
+    """Lines of a page and what is open; an empty line parts what doesn't belong together.
 
-    def __init__(self) -> None:
-        self.lines: list[tuple[str, bool]] = []
+    ``loose`` takes elements that are no content as lighter text and links as text.
+    """
+
+    def __init__(self, loose: bool) -> None:
+        self.loose = loose
+        self.lines: list[_Line] = []
         self.part: list[str] = []
+        self.linked = 0
+        self.stack: list[_Open] = []
+        self.noise = self.light = self.article = self.links = 0
+        self.heading = False
+
+    def add(self, text: str) -> None:
+        if self.noise:
+            return
+        self.part.append(text)
+        if self.links and not self.loose:
+            self.linked += len(" ".join(html.unescape(text).split()))
 
-    def end(self, inside: bool) -> None:
-        if self.part:
+    def end(self) -> None:
+        if self.part and not self.noise:
             text = " ".join(html.unescape("".join(self.part)).split())
             if text:
-                self.lines.append((text, inside))
-            self.part = []
+                weight = max(0, len(text) - self.linked) * (LIGHT if self.light else 1)
+                self.lines.append(_Line(text, weight, self.article > 0, self.heading))
+            self.part, self.linked = [], 0
 
     def gap(self) -> None:
-        self.lines += [("", False)] * GAP
+        self.end()
+        if not self.noise:
+            self.lines.append(_Line())
+
+    def open(self, name: str, attributes: str) -> None:
+        kind = _kind(name, attributes)
+        if self.loose and kind == _NO_CONTENT:
+            kind = _MENTION
+        article = name in ("article", "main") and not self.noise and kind != _HIDDEN
+        if kind != _CONTENT or article:
+            self.gap()
+        link = name == "a" and "href" in attributes.lower()
+        self.stack.append(_Open(name, kind > _MENTION, kind == _MENTION, article, link))
+        self.noise += kind > _MENTION
+        self.light += kind == _MENTION
+        self.article += article
+        self.links += link
 
+    def close(self, depth: int) -> None:
+        """Close all that is open from ``depth`` on."""
+        for x in self.stack[depth:]:
+            if x.light or x.article:
+                self.gap()
+            self.noise -= x.noise
+            self.light -= x.light
+            self.article -= x.article
+            self.links -= x.link
+            if x.noise:
+                self.gap()
+        del self.stack[depth:]
 
-def to_lines(page: str) -> list[tuple[str, bool]]:
-    out, stack, noise, article, at, size = _Lines(), [], 0, 0, 0, len(page)
+    def imply_ends(self, name: str) -> None:
+        """Close what a start tag ends without an end tag."""
+        if name in _CLOSES_P:
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i].name == "p":
+                    self.close(i)
+                    break
+                if self.stack[i].name in _BLOCK or self.stack[i].name == "button":
+                    break
+        if name in _CLOSES:
+            ends, around = _CLOSES[name]
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i].name in ends:
+                    self.close(i)
+                    break
+                if self.stack[i].name in around:
+                    break
+        if name == "a" and self.links:  # links don't nest
+            for i, x in enumerate(self.stack):
+                if x.link:
+                    self.links -= 1
+                    self.stack[i] = x._replace(link=False)
+
+
+def to_lines(page: str, loose: bool = False) -> list[_Line]:
+    out, at, size = _Page(loose), 0, len(page)
     while at < size:
         token = _TOKEN.search(page, at)
         if not token:
             break
-        if token.start() > at and not noise:
-            out.part.append(page[at:token.start()])
+        if token.start() > at:
+            out.add(page[at:token.start()])
         at = token.end()
         name = (token[1] or token[3] or "").lower()
         if not name:
@@ -96,73 +203,100 @@ def to_lines(page: str) -> list[tuple[str, bool]]:
             if name in _RAW and not attributes.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = close.end() if close else size
-                if name != "title" or noise:
-                    out.part.append(" ")
+                if name != "title":
+                    out.add(" ")
                 continue
             if name in _BLOCK:
-                if not noise:
-                    out.end(article > 0)
-                if name in _CLOSES_P and stack and stack[-1][0] == "p":
-                    stack.pop()
-            elif name == "br" and not noise:
-                out.part.append(" ")
-            if name in _VOID:
-                continue
-            bad = _is_noise(name, attributes)
-            if bad and not noise:
-                out.end(article > 0)
-                out.gap()
-            if name in ("article", "main") and not noise:
-                out.end(article > 0)
-                out.gap()
-                article += 1
-            stack.append((name, bad, name in ("article", "main") and not noise))
-            noise += bad
+                out.end()
+                out.heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
+            elif name == "br":
+                out.add(" ")
+            out.imply_ends(name)
+            if name not in _VOID:
+                out.open(name, attributes)
         else:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in _BLOCK and not noise:
-                out.end(article > 0)
+            stack = out.stack
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            if name in _BLOCK:
+                out.end()
+                out.heading = False
             if depth is None:
                 continue
             if name not in _BLOCK and name not in _ASIDE:  # an inline end closes no block around it
-                if any(x[0] in _BLOCK for x in stack[depth + 1:]):
+                if any(x.name in _BLOCK for x in stack[depth + 1:]):
                     continue
-            for _, bad, opened in stack[depth:]:
-                noise -= bad
-                if opened:
-                    article -= 1
-                    out.gap()
-                elif bad and not noise:
-                    out.gap()
-            del stack[depth:]
-    if not noise and at < size:
-        out.part.append(page[at:])
-    out.end(article > 0)
+            out.close(depth)
+    if at < size:
+        out.add(page[at:])
+    out.end()
     return out.lines
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its blocks joined by newlines; empty for null and empty pages."""
-    lines = to_lines(page or "")
-    if any(inside for _, inside in lines):
-        lines = [(text if inside else "", inside) for text, inside in lines]
-    lengths = [len(text) for text, _ in lines]
-    # A window sum that rises from 0 is a surge, one that falls back to 0 a dive.
-    total, regions, surge = 0, [], None
-    for i, length in enumerate([*lengths, *[0] * WINDOW]):
-        total += length - (lengths[i - WINDOW] if i >= WINDOW else 0)
-        if total and surge is None:
-            surge = i
-        elif not total and surge is not None:
-            regions.append((surge, i - WINDOW + 1))
-            surge = None
+def _window_weights(lines: list[_Line], begin: int, end: int) -> list[float]:
+    return [sum(x.weight for x in lines[max(begin, i - WINDOW + 1):i + 1]) for i in range(begin, end)]
+
+
+def _regions(lines: list[_Line], begin: int, end: int, weights: list[float], surge: float, dive: float) -> list:
+    """(begin, end) of each region between a surge and a dive in lines without a gap.
+
+    A surge takes along headings and lines of some weight in its window.  Only a full window can dive, and
+    a region whose next one follows after short lines, not links, goes on.
+    """
+    out, start = [], None
+    for i, weight in zip(range(begin, end), weights):
+        if start is None:
+            if weight > 0 and weight >= surge:
+                start, least = i, dive / WINDOW
+                floor = max(begin, i - WINDOW + 1, out[-1][1] if out else begin)
+                while start > floor and (lines[start - 1].heading or lines[start - 1].weight > least):
+                    start -= 1
+        elif i - WINDOW + 1 > start and weight <= dive:
+            out.append((start, i - WINDOW + 1))
+            start = None
+    if start is not None:
+        out.append((start, end))
+    joined = []
+    for a, b in out:
+        while b - 1 > a and not lines[b - 1].weight:  # links at the end
+            b -= 1
+        between = lines[joined[-1][1]:a] if joined else []
+        if joined and 2 * sum(x.weight for x in between) >= sum(len(x.text) for x in between):
+            joined[-1] = (joined[-1][0], b)
+        else:
+            joined.append((a, b))
+    return joined
+
+
+def _choose(lines: list[_Line]) -> str:
+    inside = sum(x.weight for x in lines if x.inside)
+    article = any(x.inside for x in lines) and inside >= ARTICLE * sum(x.weight for x in lines if not x.inside)
+    if article:
+        lines = [x if x.inside else _Line() for x in lines]
+    segments, begin = [], None
+    for i, line in enumerate([*lines, _Line()]):
+        if line.text and begin is None:
+            begin = i
+        elif not line.text and begin is not None:
+            segments.append((begin, i, _window_weights(lines, begin, i)))
+            begin = None
+    peak = max((max(weights) for _, _, weights in segments), default=0)
+    # All text of an article but its links is content; elsewhere content has to stand out.
+    surge, dive = (0, 0) if article else (min(SURGE, peak * SURGE_SHARE), min(DIVE, peak * DIVE_SHARE))
+    regions = [r for a, b, weights in segments for r in _regions(lines, a, b, weights, surge, dive)]
     if not regions:
         return ""
-    weights = [sum(lengths[a:b]) for a, b in regions]
     # In an article what notices cut apart belongs together; else the heaviest region and its like.
-    least = 0 if any(inside for _, inside in lines) else max(weights) / 10
-    kept = [r for r, weight in zip(regions, weights) if weight >= least]
-    return "\n".join(text for a, b in kept for text, _ in lines[a:b] if text)
+    totals = [sum(x.weight for x in lines[a:b]) for a, b in regions]
+    least = 0 if article else max(totals) / 10
+    return "\n".join(x.text for (a, b), total in zip(regions, totals) if total >= least for x in lines[a:b])
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: its blocks joined by newlines; empty for null and empty pages.
+
+    A page that has text in menus, forms, links and the like only is judged by that text.
+    """
+    return _choose(to_lines(page or "")) or _choose(to_lines(page or "", loose=True))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
