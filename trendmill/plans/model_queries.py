@@ -1,8 +1,8 @@
 """M*: text and feature preparation, training, scoring.
 
 Preparation has SQL twins.  Training has none: forests and boosting are compared
-by schema and figures.  Training queries run over the whole tables.  Open fault: the
-engagement and age models get fewer trees, rounds, depth and folds than the library's defaults.
+by schema and figures.  Training queries run over the whole tables, the engagement and age
+models at the library's default trees, rounds, depth and folds.
 """
 
 from __future__ import annotations
@@ -232,7 +232,7 @@ def train_random_forest(spark, sf):
     df = _regression_input(spark, sf)
     rows, names = engagement.training_set(df)
     return _figures(spark, df, engagement.fit_and_score(
-        rows, names, "views", engagement.random_forest(trees=40, depth=10), folds=0))
+        rows, names, "views", engagement.random_forest()))
 
 
 @query("train_gradient_boosting")
@@ -240,7 +240,7 @@ def train_gradient_boosting(spark, sf):
     df = _regression_input(spark, sf)
     rows, names = engagement.training_set(df)
     return _figures(spark, df, engagement.fit_and_score(
-        rows, names, "views", engagement.gradient_boosting(rounds=10, depth=4), folds=0))
+        rows, names, "views", engagement.gradient_boosting()))
 
 
 @query("fit_and_score")
@@ -249,36 +249,32 @@ def fit_and_score(spark, sf):
     df = _regression_input(spark, sf)
     rows, names = engagement.training_set(df)
     return _figures(spark, df, engagement.fit_and_score(
-        rows, names, "engagement_rate", engagement.random_forest(trees=10, depth=8), folds=3))
-
-
-def _small_models(df):
-    return engagement.train_models(df, folds=0, trees=10, rounds=4, depth=(8, 4))
+        rows, names, "engagement_rate", engagement.random_forest()))
 
 
 @query("train_models")
 def train_models(spark, sf):
     df = _regression_input(spark, sf)
-    return engagement.training_summary(df, _small_models(df))
+    return engagement.training_summary(df, engagement.train_models(df))
 
 
 @query("feature_importance_summary")
 def feature_importance_summary(spark, sf):
     df = _regression_input(spark, sf)
-    return engagement.feature_importance(df, _small_models(df))
+    return engagement.feature_importance(df, engagement.train_models(df))
 
 
 @query("predict_engagement")
 def predict_engagement(spark, sf):
     df = _regression_input(spark, sf)
-    scored = engagement.predict_engagement(df, engagement.best_models(_small_models(df)))
+    scored = engagement.predict_engagement(df, engagement.best_models(engagement.train_models(df)))
     return scored.select("video_id", "views", "ml_predicted_views", "ml_predicted_engagement_rate")
 
 
 @query("save_load_engagement_models")
 def save_load_engagement_models(spark, sf):
     df, path = _regression_input(spark, sf), scratch_path(spark, "engagement-models")
-    engagement.save_models(engagement.best_models(_small_models(df)), path)
+    engagement.save_models(engagement.best_models(engagement.train_models(df)), path)
     scored = engagement.predict_engagement(df, engagement.load_models(path))
     return scored.select("video_id", "ml_predicted_views", "ml_predicted_engagement_rate")
 
@@ -290,27 +286,27 @@ def _people(spark, sf):
 @query("age_train")
 def age_train(spark, sf):
     people = _people(spark, sf)
-    _, figures = age.train_age_model(people, folds=2, size=20)
+    _, figures = age.train_age_model(people)
     return nlp.metrics_frame(people, "age_random_forest", figures)
 
 
 @query("age_train_boosting")
 def age_train_boosting(spark, sf):
     people = _people(spark, sf)
-    _, figures = age.train_age_model(people, "gradient_boosting", folds=0, size=2, depth=3)
+    _, figures = age.train_age_model(people, "gradient_boosting")
     return nlp.metrics_frame(people, "age_gradient_boosting", figures)
 
 
 @query("age_feature_importance")
 def age_feature_importance(spark, sf):
     people = _people(spark, sf)
-    model, _ = age.train_age_model(people, folds=0, size=20)
+    model, _ = age.train_age_model(people)
     return age.importance(people, model)
 
 
 @query("age_predict")
 def age_predict(spark, sf):
     people = _people(spark, sf)
-    model, _ = age.train_age_model(people, folds=0, size=20)
+    model, _ = age.train_age_model(people)
     return age.predict_age_groups(people, model).select(
         "video_id", "age_group", "predicted_age_group_id", "predicted_age_group")
