@@ -101,6 +101,40 @@ def test_repeated_bytes(docs, empty, rows):
     assert suffixes.remove_repeated_bytes(empty).count() == 0
 
 
+def test_hot_representatives_are_spread(spark, monkeypatch):
+    """One passage between different texts: windows of hot representatives are spread, with the results of brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    passage = words(30, 900)
+    rows = [(i, f"{words(12, 910 + i % 30)} {passage} {words(12, 950 + i)}", None, "s", 0, "") for i in range(40)]
+    rows += [rows[3], rows[3], (None, rows[5][1], None, None, 0, ""), (50, passage + passage, None, "s", 0, "")]
+    seen, want = set(), []
+    for _, text in sorted({r[:2] for r in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
+        data, gone = text.encode(), set()
+        for i in range(len(data) - 99):
+            if data[i:i + 100] in seen:
+                gone.update(range(i, i + 100))
+            seen.add(data[i:i + 100])
+        want.append(bytes(b for i, b in enumerate(data) if i not in gone))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for limit in (0, 8, 1 << 14):
+        monkeypatch.setattr(suffixes, "HOT_SNIPPETS", limit)
+        got = suffixes.remove_repeated_bytes(docs).select("doc_id", "text", "kept").distinct().collect()
+        assert sorted(bytes(r.kept) for r in got) == sorted(want)
+    texts = [r[1] for r in rows[:40]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts, pa.string()),
+         pa.array([np.array([0, len(t.encode())]).tobytes() for t in texts], pa.binary())],
+        ["__id", "__content", "__text", "__runs"])
+    counts = {h: n for part in suffixes._snippet_counts(iter([batch]), 100, 40)
+              for h, n in zip(part["hash"].to_pylist(), part["snippets"].to_pylist())}
+    hot = np.array([h for h, n in counts.items() if n >= 40], np.int64).view(np.uint64)
+    sent = [(b, len(m)) for part in suffixes._snippets(iter([batch]), 100, 40, 64, hot)
+            for b, m in zip(part["bucket"].to_pylist(), part["meta"].to_pylist()) if b >= 64]
+    assert len(hot) and len(sent) > 32 and max(n for _, n in sent) < sum(n for _, n in sent) / 8
+
+
 @pytest.mark.parametrize("alphabet", [b"ab", b"a", bytes(range(200, 256))])
 def test_two_stage_order_is_sorted(alphabet):
     import numpy as np

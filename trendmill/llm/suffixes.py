@@ -4,7 +4,8 @@ Suffixes that can be equal over the wanted length are brought together first: ea
 length is represented by the least hash among its short strings (the same one wherever the window
 stands), and only windows whose representative occurs twice go on, to the task of that hash.  There the
 suffixes smaller than their successors are sorted directly, the rest is induced from them by scanning
-the buckets of first bytes, and adjacent suffixes with a long common prefix are repeats.
+the buckets of first bytes, and adjacent suffixes with a long common prefix are repeats.  The windows of
+a representative that very many places share don't go to one task: they meet by 128 bits of their own hash.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from trendmill.session import materialise
 _PLACE = np.uint64((1 << 28) - 1)
 _PIECE = 1 << 20
 _LAST = (1 << 63) - 1
+#: Snippets of one representative that a task sorts; the windows of those with more are spread by their own hash.
+HOT_SNIPPETS = 1 << 14
 
 
 def representatives(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
@@ -76,6 +79,7 @@ def _anchors(piece: pa.RecordBatch, width: int, gram: int):
 
 
 _META = np.dtype([("hash", "<u8"), ("id", "<i8"), ("content", "<i8"), ("start", "<i8"), ("count", "<i8")])
+_WINDOW = np.dtype([("hash", "<u8"), ("more", "<u8"), ("id", "<i8"), ("content", "<i8"), ("start", "<i8")])
 
 
 def _same_place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -83,12 +87,8 @@ def _same_place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left["id"] == right["id"]) & (left["content"] == right["content"]) & (left["start"] == right["start"])
 
 
-def _snippets(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, meta, bytes): for each run of windows with one repeated representative, the bytes they cover.
-
-    A snippet that a chunk has twice is sent once, as its first; the others are wholly repeated and go
-    to negative buckets without bytes.
-    """
+def _repeated_windows(batches: Iterator[pa.RecordBatch], width: int, gram: int):
+    """Per chunk: the rows, their bytes and offsets; starts, representatives' places and hashes of windows in __runs."""
     for batch in batches:
         for piece in chunks(batch, "__text", 2 << 20):
             data, offsets = utf8(piece.column("__text"))
@@ -97,40 +97,124 @@ def _snippets(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets:
                 begin, end = offsets[i], offsets[i + 1]
                 wanted[begin:end] = covered(np.frombuffer(runs.as_buffer(), np.int64), 0, 0, end - begin)
             found = [tuple(x[wanted[part[1]]] for x in part) for part in representatives(data, offsets, width, gram)]
-            if not found:
-                continue
-            starts, places, hashes = map(np.concatenate, zip(*found))
-            if not len(starts):
-                continue
-            heads = np.flatnonzero(np.append(True, (np.diff(places) != 0) | (np.diff(starts) != 1)))
+            if found:
+                starts, places, hashes = map(np.concatenate, zip(*found))
+                if len(starts):
+                    yield piece, data, offsets, starts, places, hashes
+
+
+def _snippet_heads(starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, (np.diff(places) != 0) | (np.diff(starts) != 1)))
+
+
+def _snippet_counts(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(hash, snippets) of each chunk."""
+    for _, _, _, starts, places, hashes in _repeated_windows(batches, width, gram):
+        own, counts = np.unique(hashes[_snippet_heads(starts, places)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(counts.astype(np.int64))],
+                                         ["hash", "snippets"])
+
+
+def _window_hashes(data: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hashes of the windows at ascending ``starts``."""
+    table, base = tokens.symbols(seed), tokens.factor(seed)
+    scale = tokens.powers(base, min(len(data), _PIECE + width) + 1)
+    inverse = tokens.powers(np.uint64(pow(int(base), -1, 1 << 64)), len(scale))
+    out = np.empty(len(starts), np.uint64)
+    for begin in range(0, len(data), _PIECE):
+        a, b = np.searchsorted(starts, [begin, begin + _PIECE])
+        if a < b:
+            piece, at = data[begin:begin + _PIECE + width - 1], starts[a:b] - begin
+            prefix = np.concatenate([[np.uint64(0)], np.cumsum(table[piece] * scale[:len(piece)])])
+            out[a:b] = tokens.mix((prefix[at + width] - prefix[at]) * inverse[at])
+    return out
+
+
+def _later(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by hash and place; in it, which windows are their hash's first and which repeat an earlier place."""
+    order = np.lexsort(tuple(windows[c] for c in ("start", "content", "id", "more", "hash")))
+    own = windows[order]
+    first = np.append(True, (own["hash"][1:] != own["hash"][:-1]) | (own["more"][1:] != own["more"][:-1]))
+    head = own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
+    return order, first, ~first & ~_same_place(own, head)
+
+
+def _spread(windows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows of hot representatives, in the order of a chunk, to buckets from ``buckets`` on by their own 128-bit hash.
+
+    A window that a chunk has twice is sent once, as its first; the others are repeated.
+    """
+    for at in range(0, len(windows), 1 << 22):
+        part = windows[at:at + (1 << 22)]
+        order, first, later = _later(part)
+        sent, twice = part[order[first]], part[np.sort(order[later])]
+        bucket = buckets + (sent["hash"] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        own, cuts = np.unique(bucket[by], return_index=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own.astype(np.int32)), binary_column(sent[by], np.append(cuts, len(by))),
+             pa.array([b""] * len(own), pa.binary())], ["bucket", "meta", "bytes"])
+        if len(twice):
+            heads = np.flatnonzero(np.append(True, (np.diff(twice["start"]) != 1) | (np.diff(twice["id"]) != 0)
+                                             | (np.diff(twice["content"]) != 0)))
             meta = np.empty(len(heads), _META)
-            owner = np.searchsorted(offsets, starts[heads], "right") - 1
-            ids = np.array([_LAST if x is None else x for x in piece.column("__id").to_pylist()], np.int64)
-            meta["hash"], meta["id"] = hashes[heads], ids[owner]
-            meta["content"] = np.array(piece.column("__content").to_pylist(), np.int64)[owner]
-            meta["start"] = starts[heads] - offsets[owner]
-            meta["count"] = np.diff(np.append(heads, len(starts)))
-            order = np.lexsort((meta["start"], meta["content"], meta["id"]))
-            whole, seen = data.tobytes(), {}
-            places, meta, texts = starts[heads][order].tolist(), meta[order], []
-            earlier = np.arange(len(order))
-            for at, (begin, count) in enumerate(zip(places, meta["count"].tolist())):
-                text = whole[begin:begin + count + width - 1]
-                first = seen.setdefault(text, at)
-                earlier[at] = first
-                texts.append(text if first == at else b"")
-            twice = earlier != np.arange(len(order))
-            kept = np.flatnonzero(~(twice & _same_place(meta, meta[earlier])))  # an equal row repeats nothing
-            meta, twice, texts = meta[kept], twice[kept], [texts[i] for i in kept.tolist()]
-            bucket = (tokens.mix(meta["hash"]) % np.uint64(buckets)).astype(np.int64)
-            bucket[twice] = -1 - bucket[twice]
-            order = np.argsort(bucket, kind="stable")
-            own, cuts = np.unique(bucket[order], return_index=True)
-            cuts = np.append(cuts, len(order))
-            joined = [b"".join(texts[i] for i in order[a:b]) for a, b in zip(cuts, cuts[1:])]
+            for c in ("hash", "id", "content", "start"):
+                meta[c] = twice[c][heads]
+            meta["count"] = np.diff(np.append(heads, len(twice)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), binary_column(meta[order], cuts), pa.array(joined, pa.binary())],
-                ["bucket", "meta", "bytes"])
+                [pa.array([-1 - int(meta["hash"][0] % np.uint64(buckets))], pa.int32()), pa.array([meta.tobytes()], pa.binary()),
+                 pa.array([b""], pa.binary())], ["bucket", "meta", "bytes"])
+
+
+def _snippets(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int,
+              hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(bucket, meta, bytes): for each run of windows with one repeated representative, the bytes they cover.
+
+    A snippet that a chunk has twice is sent once, as its first; the others are wholly repeated and go
+    to negative buckets without bytes.  Windows whose representative is ``hot`` go one by one, by hash.
+    """
+    for piece, data, offsets, starts, places, hashes in _repeated_windows(batches, width, gram):
+        ids = np.array([_LAST if x is None else x for x in piece.column("__id").to_pylist()], np.int64)
+        contents = np.array(piece.column("__content").to_pylist(), np.int64)
+        many = np.isin(hashes, hot)
+        if many.any():
+            at = starts[many]
+            owner = np.searchsorted(offsets, at, "right") - 1
+            windows = np.empty(len(at), _WINDOW)
+            windows["hash"], windows["more"] = (_window_hashes(data, at, width, seed) for seed in (6, 7))
+            windows["id"], windows["content"], windows["start"] = ids[owner], contents[owner], at - offsets[owner]
+            yield from _spread(windows, buckets)
+            starts, places, hashes = starts[~many], places[~many], hashes[~many]
+            if not len(starts):
+                continue
+        heads = _snippet_heads(starts, places)
+        meta = np.empty(len(heads), _META)
+        owner = np.searchsorted(offsets, starts[heads], "right") - 1
+        meta["hash"], meta["id"] = hashes[heads], ids[owner]
+        meta["content"] = contents[owner]
+        meta["start"] = starts[heads] - offsets[owner]
+        meta["count"] = np.diff(np.append(heads, len(starts)))
+        order = np.lexsort((meta["start"], meta["content"], meta["id"]))
+        whole, seen = data.tobytes(), {}
+        places, meta, texts = starts[heads][order].tolist(), meta[order], []
+        earlier = np.arange(len(order))
+        for at, (begin, count) in enumerate(zip(places, meta["count"].tolist())):
+            text = whole[begin:begin + count + width - 1]
+            first = seen.setdefault(text, at)
+            earlier[at] = first
+            texts.append(text if first == at else b"")
+        twice = earlier != np.arange(len(order))
+        kept = np.flatnonzero(~(twice & _same_place(meta, meta[earlier])))  # an equal row repeats nothing
+        meta, twice, texts = meta[kept], twice[kept], [texts[i] for i in kept.tolist()]
+        bucket = (tokens.mix(meta["hash"]) % np.uint64(buckets)).astype(np.int64)
+        bucket[twice] = -1 - bucket[twice]
+        order = np.argsort(bucket, kind="stable")
+        own, cuts = np.unique(bucket[order], return_index=True)
+        cuts = np.append(cuts, len(order))
+        joined = [b"".join(texts[i] for i in order[a:b]) for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own.astype(np.int32)), binary_column(meta[order], cuts), pa.array(joined, pa.binary())],
+            ["bucket", "meta", "bytes"])
 
 
 def _rising(text: np.ndarray) -> np.ndarray:
@@ -205,8 +289,13 @@ def _same(data: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) ->
     return out
 
 
-def _repeats(key: tuple, table: pa.Table, width: int) -> pa.Table:
+def _repeats(key: tuple, table: pa.Table, width: int, buckets: int) -> pa.Table:
     """One bucket: the windows that also start earlier, as runs."""
+    if key[0].as_py() >= buckets:
+        windows = np.concatenate([np.frombuffer(x.as_buffer(), _WINDOW) for x in table.column("meta")])
+        order, _, later = _later(windows)
+        windows = windows[order[later]]
+        return _runs_table(windows["id"], windows["content"], windows["start"], np.ones(len(windows), np.int64))
     metas = [np.frombuffer(x.as_buffer(), _META) for x in table.column("meta")]
     if key[0].as_py() < 0:
         later = np.concatenate(metas)
@@ -304,10 +393,17 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100, gram: int = 40, tex
     rows = rows.withColumn("__id", F.col("__id").cast("long"))
     hits = materialise(repeated_units(rows, partial(_anchors, width=width, gram=gram), "u4", buckets), "anchors")
     free_shuffles(spark)
+    counts = join_runs(rows, hits, "inner").mapInArrow(
+        partial(_snippet_counts, width=width, gram=gram), "hash long, snippets long")
+    most = counts.groupBy("hash").agg(F.sum("snippets").alias("n")).where(F.col("n") > HOT_SNIPPETS)
+    # At most one in HOT_SNIPPETS of all snippets.
+    hot = np.array([r["hash"] for r in most.select("hash").collect()], np.int64).view(np.uint64)
+    free_shuffles(spark)
+    buckets *= 8
     pieces = join_runs(rows, hits, "inner").mapInArrow(
-        partial(_snippets, width=width, gram=gram, buckets=8 * buckets), "bucket int, meta binary, bytes binary")
+        partial(_snippets, width=width, gram=gram, buckets=buckets, hot=hot), "bucket int, meta binary, bytes binary")
     runs = materialise(pieces.groupBy("bucket").applyInArrow(
-        lambda key, table: _repeats(key, table, width), "id long, content long, start long, count long"), "repeats")
+        lambda key, table: _repeats(key, table, width, buckets), "id long, content long, start long, count long"), "repeats")
     free_shuffles(spark)
     runs = (runs.distinct().groupBy("id", "content")
             .agg(F.collect_list("start").alias("__starts"), F.collect_list("count").alias("__counts")))
