@@ -268,6 +268,16 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontaminate.decontaminate(empty, bench).count() == 0
 
 
+def test_more_windows_than_are_broadcast_shuffle_hashes_only(spark, docs, rows, monkeypatch):
+    items = [(i, " ".join(rows[i][1].split()[10:25 + i])) for i in (0, 3, 4, 8)] + [(7, "x"), (9, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    carried = decontaminate.find_hits(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    joined = decontaminate.find_hits(docs, bench)
+    assert "LeftSemi" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, joined.collect())) == sorted(map(str, carried)) and any(r.hits for r in carried)
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("<p>one", "one"),
     ("<nav>menu</nav><article><h1>T</h1><p>a &amp;\n b<br>c<p>d</article><footer>f</footer>", "T\na & b c\nd"),

@@ -42,7 +42,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str
     windows = materialise(benchmark_windows(benchmark, width, bench_text, bench_ident), "windows")
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most ``width`` values
     known = windows.select(F.col("width").alias("__w"), F.col("key").alias("__k"), "window", "items")
-    if windows.count() <= BROADCAST_WINDOWS:
+    few = windows.count() <= BROADCAST_WINDOWS
+    if few:
         known = F.broadcast(known)
     tokens = docs.select(F.col(ident).alias("__id"), F.xxhash64(text).alias("__content"),
                          normalised_words(F.col(text)).alias("words"))
@@ -58,9 +59,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str
     else:
         places = places.withColumn("look", F.explode(F.array_compact(F.array(own, *looked))))
     probes = places.select("*", F.col("look.w").alias("w"), F.col("look.k").alias("k"))
-    found = probes.join(known, (F.col("k") == F.col("__k")) & (F.col("w") == F.col("__w"))
-                        & (F.slice("words", F.greatest(F.col("at") + 1, F.lit(1)), F.col("w")) == F.col("window")),
-                        "left").where((F.col("at") < 0) | F.col("window").isNotNull())
+    window = F.slice("words", F.greatest(F.col("at") + 1, F.lit(1)), F.col("w"))
+    same = (F.col("k") == F.col("__k")) & (F.col("w") == F.col("__w"))
+    if few:
+        found = probes.join(known, same & (window == F.col("window")), "left")
+    else:
+        # Hashes alone are shuffled; the few that are known meet their document's words again.
+        asked = probes.where("at >= 0").select("__id", "__content", "at", "w", "k")
+        hit = asked.join(known.select("__k", "__w"), same, "left_semi").groupBy("__id", "__content").agg(
+            F.collect_set(F.struct("at", "w", "k")).alias("places"))
+        hit = hit.withColumnsRenamed({"__id": "__own", "__content": "__same"})
+        itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("w"), F.lit(0).cast("long").alias("k")))
+        met = tokens.join(hit, F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__content") == F.col("__same")), "left")
+        met = met.withColumn("place", F.explode(F.concat(itself, F.coalesce("places", F.array()))))
+        met = met.select("__id", "__content", "n_words", "words", "place.*")
+        met = met.select("__id", "__content", "n_words", "at", "w", "k", window.alias("read"))
+        found = met.join(known, same & (F.col("read") == F.col("window")), "left")
+    found = found.where((F.col("at") < 0) | F.col("window").isNotNull())
     rows = found.groupBy("__id", "__content", "n_words").agg(
         F.count(F.when(F.col("at") < 0, 1)).alias("copies"),
         F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "w"))).alias("spans"),
