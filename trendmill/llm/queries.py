@@ -12,10 +12,12 @@ from trendmill.llm import (
     chat,
     decontaminate,
     html_text,
+    interaction,
     language,
     mixing,
     neardup,
     quality,
+    runs,
     sharding,
     sql,
     suffixes,
@@ -120,3 +122,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                        (F.size("hits") > 0).alias("contaminated"))
+
+
+@query(sql.OP11)
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all their orders, per language."""
+    return interaction.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(sql.OP13)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, some of them given a periodic tail, and the texts without the repeats."""
+    docs = table(spark, sf_dir, "documents")
+    found = runs.collapse_runs(docs, runs.planted_repeats(F.col("text"), F.col("doc_id")))
+    best = runs.longest_run(F.col("runs"))
+    found = found.select("*", best.alias("best"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                        runs.run_digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

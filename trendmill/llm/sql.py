@@ -147,3 +147,70 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS
        doc_id = coalesce(component_id, doc_id) AS kept
 FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
 """
+
+OP11 = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY body) AS least FROM t),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+             || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o(filter_order) AS (
+  SELECT '' UNION ALL
+  SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+      FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+m AS (SELECT s.*, c.*, contains(fails, own) AS failing, translate(fails, before, '') = fails AS reached FROM s, c),
+a AS (SELECT part, filter_order, step, own,
+             sum(CASE WHEN reached AND NOT failing THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN reached AND failing THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN failing AND NOT reached THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN reached AND failing THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN reached AND failing THEN toxic ELSE 0 END) AS toxic_lost
+      FROM m GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley, own AS filter
+FROM a
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+             lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda acc, e: CASE WHEN e >= 0 THEN xor(acc, e) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END)) AS h
+  FROM documents),
+e AS (SELECT *, len(ws) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i:
+             ws[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) END AS ws FROM p),
+six AS (SELECT rid, x, md5(array_to_string(ws[x + 1:x + 6], ' ')) AS gram
+        FROM (SELECT rid, ws, unnest(range(0, n - 5)) AS x FROM t WHERE n >= 6)),
+twice AS (SELECT * FROM six QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+same AS (SELECT u.rid, u.x, v.x - u.x AS q FROM twice u JOIN twice v ON u.rid = v.rid AND u.gram = v.gram AND u.x < v.x),
+isl AS (SELECT rid, q, x, x - row_number() OVER (PARTITION BY rid, q ORDER BY x) AS k FROM same),
+stretch AS (SELECT rid, q, min(x) AS s, max(x) + 6 + q AS e FROM isl GROUP BY rid, q, k),
+runs AS (SELECT rid, s AS start, e - s AS length, min(q) AS period FROM stretch
+         WHERE e - s >= greatest(12, 2 * q) GROUP BY rid, s, e),
+r AS (SELECT rid, count(*) AS n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS lines,
+             max_by((start, length, period), (length, -start, -period)) AS best FROM runs GROUP BY rid),
+lost AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT w.rid, string_agg(word, ' ' ORDER BY i) AS body
+         FROM (SELECT rid, unnest(ws) AS word, unnest(range(0, n)) AS i FROM t WHERE n > 0) w ANTI JOIN lost USING (rid, i)
+         GROUP BY w.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best[1] AS BIGINT) AS start, CAST(best[2] AS BIGINT) AS length,
+       CAST(best[3] AS BIGINT) AS period, CAST(1000 * best[2] // best[3] AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM t LEFT JOIN r USING (rid) LEFT JOIN kept USING (rid)
+"""
