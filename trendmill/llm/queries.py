@@ -133,8 +133,7 @@ def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.OP13)
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, some of them given a periodic tail, and the texts without the repeats."""
-    docs = table(spark, sf_dir, "documents")
-    found = runs.collapse_runs(docs, runs.planted_repeats(F.col("text"), F.col("doc_id")))
+    found = runs.collapse_runs(runs.planted_repeats(table(spark, sf_dir, "documents")))
     best = runs.longest_run(F.col("runs"))
     found = found.select("*", best.alias("best"))
     return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",

@@ -171,7 +171,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keep: list[str], min_length: int) -
                 [*keep, "n_words", "n_runs", "runs", "collapsed"])
 
 
-def collapse_runs(docs: DataFrame, text: str | Column = "text", keep: list[str] | None = None,
+def collapse_runs(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
                   min_length: int = _MIN_LENGTH) -> DataFrame:
     """``keep`` (default doc_id), n_words, n_runs, runs (start, length, period by start, then period) and collapsed.
 
@@ -186,20 +186,31 @@ def collapse_runs(docs: DataFrame, text: str | Column = "text", keep: list[str]
     clash = {"n_words", "n_runs", "runs", "collapsed", "__text"} & set(keep)
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)} before: results have these names")
-    rows = docs.select(*keep, (F.col(text) if isinstance(text, str) else text).alias("__text"))
+    rows = docs.select(*keep, F.col(text).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     return rows.mapInArrow(lambda batches: _runs(batches, keep, min_length), f"{kept}, {_FOUND}" if kept else _FOUND)
 
 
-def planted_repeats(text: Column, ident: Column) -> Column:
-    """The text, or for ids whose crc32 is divisible by ten its words with a periodic tail, joined by one space."""
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), _GAPS, -1), "")
-    h = F.crc32(ident.cast("string").cast("binary"))
-    g, n = F.floor(h / 10).cast("long"), F.size(words)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    tail = F.array_join(F.transform(words, lambda w, i: F.when(i >= a, F.get(words, a + (i - a) % p)).otherwise(w)), " ")
-    return F.when((h % 10 == 0) & (n > 0), tail).otherwise(text)
+def planted_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """(ident, text): where the id's crc32 is divisible by ten the words get a periodic tail and are joined by one space.
+
+    With g = crc32 / 10 and n words, the tail starts at word g % n and repeats its first
+    1 + (n - start) / (3 + g % 8) words.  Texts without words and rows with a null id stay as they are.
+    """
+    h = F.crc32(F.col(ident).cast("string").cast("binary"))
+    rows = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text"),
+                       F.when(h % 10 == 0, F.floor(h / 10).cast("long")).alias("__g"))
+    rows = rows.withColumn("__words", F.when(F.col("__g").isNotNull(), F.array_remove(
+        F.split(F.coalesce("__text", F.lit("")), _GAPS, -1), "")))  # only the few rows that change are split
+    n, g = F.size("__words"), F.col("__g")
+    rows = rows.withColumn("__start", F.when(n > 0, (g % n).cast("int")))
+    rest = n - F.col("__start")
+    rows = rows.withColumn("__period", (1 + F.floor(rest / (3 + g % 8))).cast("int"))
+    period = F.slice("__words", F.col("__start") + 1, F.col("__period"))
+    cycles = F.flatten(F.array_repeat(period, F.ceil(rest / F.col("__period")).cast("int")))
+    whole = F.concat(F.slice("__words", F.lit(1), F.col("__start")), F.slice(cycles, F.lit(1), rest))
+    return rows.select(F.col("__id").alias(ident), F.when(F.col("__start").isNotNull(), F.array_join(whole, " "))
+                       .otherwise(F.col("__text")).alias(text))
 
 
 def run_digest(runs: Column) -> Column:
