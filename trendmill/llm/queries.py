@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trendmill.llm import (
     blocks,
+    bpe,
     chat,
     decontaminate,
     html_text,
@@ -130,6 +131,15 @@ def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the texts they decode to."""
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    decimals = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query(sql.OP13)
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, some of them given a periodic tail, and the texts without the repeats."""
