@@ -20,13 +20,16 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendmill.llm.common import chunks, shuffle_partitions
+from trendmill.llm.common import chunks, groups_of, shuffle_partitions
 
 #: Bytes of a text encoded in one piece, and bytes of a text that stay in one task.
 LEAF_BYTES, BLOCK_BYTES = 4096, 64 << 10
+#: Bytes and ids handed to the library at once; it needs some 200 bytes for each token.
+_TEXT_BYTES, _IDS = 256 << 10, 64 << 10
 _WINDOW = 4
 _INSIDE = 32  # bytes of a window that may be taken for the inside of one stretch
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
@@ -203,7 +206,7 @@ def _id_lists(ids: list[np.ndarray]) -> pa.Array:
 def _encode_rows(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     coder = _coder(vocabulary.value)
     for batch in batches:
-        for piece in chunks(batch, "__text"):
+        for piece in chunks(batch, "__text", _TEXT_BYTES):
             ids = encode_texts(coder, [(t or "").encode() for t in piece.column("__text").to_pylist()])
             rest = [c for c in piece.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in rest), _id_lists(ids)], [*rest, "ids"])
@@ -265,9 +268,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ident:
 def _decode_rows(batches: Iterator[pa.RecordBatch], vocabulary, ids: str) -> Iterator[pa.RecordBatch]:
     tokenizer = _coder(vocabulary.value).tokenizer
     for batch in batches:
-        lists = [x or [] for x in batch.column(ids).to_pylist()]
-        texts = pa.array(tokenizer.decode_batch(lists, skip_special_tokens=False), pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+        sizes = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = batch.column(ids).flatten().to_numpy(zero_copy_only=False)
+        for start, end in groups_of(sizes, _IDS):
+            piece = batch.slice(start, end - start)
+            lists = [flat[a:b].tolist() for a, b in zip(ends[start:end], ends[start + 1:end + 1])]
+            texts = pa.array(tokenizer.decode_batch(lists, skip_special_tokens=False), pa.string())
+            yield pa.RecordBatch.from_arrays([*piece.columns, texts], [*piece.schema.names, "decoded"])
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
