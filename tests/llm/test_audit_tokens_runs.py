@@ -115,6 +115,13 @@ def test_joined_pieces_equal_whole_texts():
             assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, (leaf, text)
 
 
+def test_any_ids_decode_as_the_library_does():
+    coder, whole, draw = bpe.Coder(bpe.tokenizer_text()), reference_coder(), random.Random(5)
+    for _ in range(300):
+        ids = [draw.randrange(50257) for _ in range(draw.randrange(30))] + [draw.randrange(256) for _ in range(draw.randrange(9))]
+        assert coder.decode(np.array(ids, np.int32)) == whole.decode(ids, skip_special_tokens=False)
+
+
 def test_cuts_respect_signs_and_added_tokens():
     data = ("é" * 20 + "<|endoftext|>" * 5 + "😀" * 9).encode()
     cuts = bpe.halving(data, 0, len(data), 6, [b"<|endoftext|>"])

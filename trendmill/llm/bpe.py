@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from trendmill.llm.common import chunks, groups_of, shuffle_partitions
 LEAF_BYTES, BLOCK_BYTES = 4096, 64 << 10
 #: Bytes and ids handed to the library at once; it needs some 200 bytes for each token.
 _TEXT_BYTES, _IDS = 256 << 10, 64 << 10
+_KNOWN = 1 << 18  # stretches whose ids a task remembers, some 50 MB
 _WINDOW = 4
 _INSIDE = 32  # bytes of a window that may be taken for the inside of one stretch
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
@@ -47,6 +49,16 @@ def _byte_classes() -> np.ndarray:
 
 
 _CLASS = _byte_classes()
+#: Last bytes of signs that are no white space: ASCII, and first bytes of Latin letters of two bytes.
+_KNOWN_SIGN = np.isin(_CLASS, (_LETTER, _DIGIT, _SIGN))
+_LATIN = np.isin(np.arange(256), (195, 196, 197))
+
+
+def _byte_signs() -> dict[str, int]:
+    """The sign that a byte-level vocabulary writes for each byte: itself where it is printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
 def tokenizer_text(path: str | None = None) -> str:
@@ -77,18 +89,48 @@ class Coder:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, ident in vocabulary.items():
-            self.width[ident] = len(token)  # one sign per byte
-        self.added = []
-        for ident, token in self.tokenizer.get_added_tokens_decoder().items():
-            self.added.append(token.content.encode())
-            self.width[ident] = len(self.added[-1])
+        self.forget()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        signs = _byte_signs()
+        self.bytes = {ident: bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
+                      for token, ident in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.width = np.zeros(max(self.bytes) + 1, np.int64)
+        for ident, own in self.bytes.items():
+            self.width[ident] = len(own)
 
     def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in found]
+        """Ids of each piece; a stretch that occurs again, as most words do, is encoded once."""
+        cut = [stretches(p) for p in pieces]
+        flat = [s for own in cut for s in own]
+        if len(self.known) > _KNOWN:
+            self.forget()
+        self.learn({s for s in flat if s not in self.known})
+        row = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        size = self.first[row + 1] - self.first[row]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.first[row] - ends[:-1], size) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum([len(own) for own in cut])[:-1]])
+
+    def forget(self) -> None:
+        """``known`` numbers stretches; the ids of number n are ids[first[n]:first[n + 1]]."""
+        self.known: dict[bytes, int] = {}
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, new: set[bytes]) -> None:
+        # Stretches between two sure places may follow each other in one text: many small calls take longer.
+        inner = [s for s in new if s[:1] == b" " and sure_end(s)]
+        ids = self.tokenizer.encode(b"".join(inner).decode(), add_special_tokens=False).ids
+        ends = np.cumsum(self.width[ids]) if ids else np.zeros(0, np.int64)
+        bounds = np.searchsorted(ends, np.cumsum([len(s) for s in inner])) + 1 if inner else np.zeros(0, np.int64)
+        rest = list(new.difference(inner))
+        found = [e.ids for e in self.tokenizer.encode_batch([s.decode() for s in rest], add_special_tokens=False)]
+        bounds = np.concatenate([bounds, len(ids) + np.cumsum([len(x) for x in found], dtype=np.int64)])
+        self.known.update(zip([*inner, *rest], range(len(self.known), len(self.known) + len(new))))
+        self.first = np.concatenate([self.first, self.first[-1] + bounds])
+        self.ids = np.concatenate([self.ids, np.array([*ids, *chain.from_iterable(found)], np.int32)])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode(errors="replace")
 
     def window(self, piece: bytes) -> tuple[np.ndarray, bool]:
         """Ids, and whether the split pattern leaves the piece whole."""
@@ -117,6 +159,20 @@ def certain(data: bytes, at: int) -> bool:
     return not (data[at - 1] == 39 and after == _LETTER)  # 's and the like
 
 
+def sure_end(data: bytes) -> bool:
+    return bool(_KNOWN_SIGN[data[-1]]) or (data[-1] >= 128 and len(data) > 1 and bool(_LATIN[data[-2]]))
+
+
+def stretches(data: bytes) -> list[bytes]:
+    """The parts between places before a space that are ``certain``: words with the space before them, as a rule."""
+    sign = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(sign[1:] == 32) + 1
+    before = sign[at - 1]
+    sure = _KNOWN_SIGN[before] | ((before >= 128) & _LATIN[sign[np.maximum(at - 2, 0)]])
+    bounds = [0, *at[sure].tolist(), len(data)]
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def halving(data: bytes, low: int, high: int, limit: int, added: list[bytes]) -> list[int]:
     """Places that halve data[low:high] until no part is longer than ``limit`` bytes; ascending, without the ends.
 
@@ -266,15 +322,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ident:
 
 
 def _decode_rows(batches: Iterator[pa.RecordBatch], vocabulary, ids: str) -> Iterator[pa.RecordBatch]:
-    tokenizer = _coder(vocabulary.value).tokenizer
+    coder = _coder(vocabulary.value)
     for batch in batches:
         sizes = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         flat = batch.column(ids).flatten().to_numpy(zero_copy_only=False)
         for start, end in groups_of(sizes, _IDS):
             piece = batch.slice(start, end - start)
-            lists = [flat[a:b].tolist() for a, b in zip(ends[start:end], ends[start + 1:end + 1])]
-            texts = pa.array(tokenizer.decode_batch(lists, skip_special_tokens=False), pa.string())
+            texts = pa.array([coder.decode(flat[a:b]) for a, b in zip(ends[start:end], ends[start + 1:end + 1])], pa.string())
             yield pa.RecordBatch.from_arrays([*piece.columns, texts], [*piece.schema.names, "decoded"])
 
 
