@@ -278,6 +278,34 @@ def test_more_windows_than_are_broadcast_shuffle_hashes_only(spark, docs, rows,
     assert sorted(map(str, joined.collect())) == sorted(map(str, carried)) and any(r.hits for r in carried)
 
 
+def test_hits_of_long_texts_and_clashing_columns(spark):
+    draw = random.Random(4)
+    long = [f"w{draw.randrange(900)}" for _ in range(60_000)]
+    own = spark.createDataFrame(
+        [(1, " ".join(long)), (1, " ".join(long)), (2, " ".join(["pad", *long[50:60]])), (3, None), (None, "a b c d"), (4, "clean")],
+        "doc_id long, text string")
+    for name in ("hits", "items", "places", "w", "k", "at", "copies", "n_words", "window", "__id", "__hit", "content"):
+        own = own.withColumn(name, F.lit("kept"))
+    bench = spark.createDataFrame([(1, " ".join(long[100:103])), (2, " ".join(long[200:230])), (3, "b c")], "item_id long, text string")
+    plain = {(1, 2): long, (None, 1): "a b c d".split()}
+    found = {(r["__id"], r.copies): r for r in decontaminate.find_hits(own, bench).collect()}
+    for key, words_of in plain.items():
+        want, items = set(), set()
+        for item, text in ((1, long[100:103]), (2, long[200:230]), (3, ["b", "c"])):
+            k = min(len(text), 10)
+            windows = {tuple(text[i:i + k]) for i in range(len(text) - k + 1)}
+            for i in range(len(words_of) - k + 1):
+                if tuple(words_of[i:i + k]) in windows:
+                    want |= set(range(i, i + k))
+                    items.add(str(item))
+        assert list(found[key].hits) == sorted(want) and list(found[key]["items"]) == sorted(items)
+    kept = decontaminate.decontaminate(own, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == own.columns
+    cut = decontaminate.decontaminate(own, bench, remove="spans").collect()
+    assert len(cut) == 6 and {r.hits for r in cut} == {"kept"}
+    assert [len(r.text.split()) for r in cut if r.doc_id == 1] == [60_000 - len(found[1, 2].hits)] * 2
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("<p>one", "one"),
     ("<nav>menu</nav><article><h1>T</h1><p>a &amp;\n b<br>c<p>d</article><footer>f</footer>", "T\na & b c\nd"),

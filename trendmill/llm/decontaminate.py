@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trendmill.session import materialise
 
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that may be broadcast: some 30 MB with their words. More are joined by shuffle.
+#: Windows whose width and hash may be broadcast, some 3 MB. Beyond that Spark chooses the join by size.
 BROADCAST_WINDOWS = 100_000
 
 
@@ -31,59 +31,66 @@ def benchmark_windows(benchmark: DataFrame, width: int = 10, text: str = "text",
             .select("width", F.xxhash64("words").alias("key"), F.col("words").alias("window"), "items"))
 
 
+def _probe(words: Column, width: int):
+    # Single words are picked: a slice would copy the whole array each time.
+    return lambda i: F.struct(i.alias("at"), F.lit(width).alias("w"),
+                              F.xxhash64(F.array(*(F.get(words, i + j) for j in range(width)))).alias("k"))
+
+
+def _probes(words: Column, widths: list[int]) -> Column:
+    """(at, w, k): each window's place, width and hash, and first the document itself at -1 with its number of words."""
+    itself = F.struct(F.lit(-1).alias("at"), F.size(words).alias("w"), F.lit(0).cast("long").alias("k"))
+    none = F.array().cast("array<struct<at:int,w:int,k:bigint>>")
+    windows = [F.when(F.size(words) >= w, F.transform(
+        F.sequence(F.lit(0), F.size(words) - w),
+        _probe(words, w)
+    )).otherwise(none) for w in widths]
+    return F.concat(F.array(itself), *windows)
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", ident: str = "doc_id",
               bench_text: str = "text", bench_ident: str = "item_id") -> DataFrame:
     """One row per distinct (id, text) of ``docs``: __id, __content, copies, n_words, hits, items.
 
     hits are the 0-based word positions inside any occurrence of a window; items the benchmark items
     whose windows occur, ordered as strings.  Every window of every document is looked up by hash in
-    the benchmark's windows and verified word by word.
+    the benchmark's windows and those found are verified word by word.  Null and empty texts have no
+    words and no hits, null ids are a value like any other, repeated rows count as copies, items
+    without words have no windows, and empty tables give no rows or no hits.  Rows of single words
+    hold a place and a hash, never the words, so memory grows in proportion to a text's length.
     """
     windows = materialise(benchmark_windows(benchmark, width, bench_text, bench_ident), "windows")
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most ``width`` values
-    known = windows.select(F.col("width").alias("__w"), F.col("key").alias("__k"), "window", "items")
-    few = windows.count() <= BROADCAST_WINDOWS
-    if few:
-        known = F.broadcast(known)
-    tokens = docs.select(F.col(ident).alias("__id"), F.xxhash64(text).alias("__content"),
-                         normalised_words(F.col(text)).alias("words"))
-    tokens = tokens.withColumn("n_words", F.size("words"))
-    # Position -1 stands for the document itself, so that documents without a hit stay.
-    places = tokens.select("*", F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)).alias("at"))
-    looked = [F.when((F.col("at") >= 0) & (F.col("at") + w <= F.col("n_words")), F.struct(
-        F.lit(w).alias("w"), F.xxhash64(F.array(*(F.get("words", F.col("at") + j) for j in range(w)))).alias("k")))
-        for w in widths]
-    own = F.when(F.col("at") < 0, F.struct(F.lit(0).alias("w"), F.lit(0).cast("long").alias("k")))
-    if len(looked) == 1:  # no second explode for the usual case of one width
-        places = places.withColumn("look", F.coalesce(own, looked[0]))
-    else:
-        places = places.withColumn("look", F.explode(F.array_compact(F.array(own, *looked))))
-    probes = places.select("*", F.col("look.w").alias("w"), F.col("look.k").alias("k"))
-    window = F.slice("words", F.greatest(F.col("at") + 1, F.lit(1)), F.col("w"))
-    same = (F.col("k") == F.col("__k")) & (F.col("w") == F.col("__w"))
-    if few:
-        found = probes.join(known, same & (window == F.col("window")), "left")
-    else:
-        # Hashes alone are shuffled; the few that are known meet their document's words again.
-        asked = probes.where("at >= 0").select("__id", "__content", "at", "w", "k")
-        hit = asked.join(known.select("__k", "__w"), same, "left_semi").groupBy("__id", "__content").agg(
-            F.collect_set(F.struct("at", "w", "k")).alias("places"))
-        hit = hit.withColumnsRenamed({"__id": "__own", "__content": "__same"})
-        itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("w"), F.lit(0).cast("long").alias("k")))
-        met = tokens.join(hit, F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__content") == F.col("__same")), "left")
-        met = met.withColumn("place", F.explode(F.concat(itself, F.coalesce("places", F.array()))))
-        met = met.select("__id", "__content", "n_words", "words", "place.*")
-        met = met.select("__id", "__content", "n_words", "at", "w", "k", window.alias("read"))
-        found = met.join(known, same & (F.col("read") == F.col("window")), "left")
-    found = found.where((F.col("at") < 0) | F.col("window").isNotNull())
-    rows = found.groupBy("__id", "__content", "n_words").agg(
-        F.count(F.when(F.col("at") < 0, 1)).alias("copies"),
-        F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "w"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    known = windows.select(F.col("width").alias("w"), F.col("key").alias("k"), "window", "items")
+    keys = known.select("w", "k").distinct().withColumn("seen", F.lit(True))
+    if windows.count() <= BROADCAST_WINDOWS:
+        keys = F.broadcast(keys)
+    texts = docs.select(F.col(ident).alias("__id"), F.xxhash64(text).alias("__content"), F.col(text).alias("__text"))
+    words = texts.select("__id", "__content", normalised_words(F.col("__text")).alias("words"))
+    probes = words.select("__id", "__content", F.inline(_probes(F.col("words"), widths)))
+    looked = probes.join(keys, ["w", "k"], "left").where((F.col("at") < 0) | F.col("seen"))
+    place = F.struct("at", "w", "k")
+    found = materialise(looked.groupBy("__id", "__content").agg(
+        F.count_if(F.col("at") < 0).alias("copies"), F.max(F.when(F.col("at") < 0, F.col("w"))).alias("n_words"),
+        F.collect_set(F.when(F.col("at") >= 0, place)).alias("places")), "hits")
+    asked = found.where(F.size("places") > 0).select(F.col("__id").alias("__own"), F.col("__content").alias("__same"), "places")
+    same = F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__content") == F.col("__same"))
+    # Texts without a place are gone before the others meet their places; the sets below see repeated rows once.
+    met = texts.join(asked.select("__own", "__same"), same, "left_semi").join(asked, same)
+    met = met.select("__id", "__content", "places", normalised_words(F.col("__text")).alias("words"))
+    met = met.select("__id", "__content", F.inline(F.transform("places", lambda p: F.struct(
+        p["at"].alias("at"), p["w"].alias("w"), p["k"].alias("k"),
+        F.transform(F.sequence(F.lit(0), p["w"] - 1), lambda j: F.get("words", p["at"] + j)).alias("window")))))
+    sure = met.join(known, ["w", "k", "window"]).groupBy("__id", "__content").agg(
+        F.collect_set(F.struct("at", "w")).alias("spans"), F.collect_set("items").alias("items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["at"], s["at"] + s["w"] - 1)))))
+    sure = sure.select(F.col("__id").alias("__own"), F.col("__content").alias("__same"), covered.alias("hits"),
+                       F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    rows = found.join(sure, same, "left")
     return rows.select("__id", "__content", "copies", F.col("n_words").cast("long").alias("n_words"),
-                       covered.alias("hits"), "items")
+                       F.coalesce("hits", F.array().cast("array<int>")).alias("hits"),
+                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def without_words(text: Column, hits: Column) -> Column:
@@ -103,10 +110,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
     hits = find_hits(docs, benchmark, width, text, ident, **bench).where(F.size("hits") > 0)
-    keyed = docs.withColumn("__content", F.xxhash64(F.col(text)))
-    same = F.col(ident).eqNullSafe(F.col("__id")) & (keyed["__content"] == F.col("__hit"))
+    hits = hits.select(F.struct(F.col("__id").alias("id"), F.col("__content").alias("content"), "hits").alias("__hit"))
+    # The documents travel as one struct, so that no column of theirs can clash.
+    rows = docs.select(F.struct("*").alias("__doc"))
+    same = (F.col(f"__doc.`{ident}`").eqNullSafe(F.col("__hit.id"))
+            & (F.xxhash64(F.col(f"__doc.`{text}`")) == F.col("__hit.content")))
     if remove == "documents":
-        return keyed.join(hits.select("__id", F.col("__content").alias("__hit")), same, "left_anti").drop("__content")
-    found = keyed.join(hits.select("__id", F.col("__content").alias("__hit"), "hits"), same, "left")
-    cut = F.when(F.col("hits").isNull(), F.col(text)).otherwise(without_words(F.col(text), F.col("hits")))
-    return found.withColumn(text, cut).select(*docs.columns)
+        return rows.join(hits, same, "left_anti").select("__doc.*")
+    found = rows.join(hits, same, "left")
+    cut = F.when(F.col("__hit").isNull(), F.col(f"__doc.`{text}`")).otherwise(
+        without_words(F.col(f"__doc.`{text}`"), F.col("__hit.hits")))
+    return found.select(*((cut if c == text else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns))
