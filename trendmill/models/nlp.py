@@ -52,7 +52,7 @@ def classifier(kind: str, rows: int, trees: int = 100, depth: int = 20, iteratio
     raise ValueError(f"Unsupported classifier type: {kind}")
 
 
-def _fit(train: DataFrame, learner) -> list:
+def fit_stages(train: DataFrame, learner) -> list:
     """Vocabulary, weights and learner, all fitted on ``train`` alone."""
     stages = fit_tfidf(train)
     # Iterative fits read this frame many times.
@@ -82,10 +82,10 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
         learner = classifier(kind, sizes.get(True, 0), **size)
         cross = {}
         if folds > 1:
-            scores = [accuracy.evaluate(PipelineModel(_fit(train.where(F.col("fold") != k), learner))
+            scores = [accuracy.evaluate(PipelineModel(fit_stages(train.where(F.col("fold") != k), learner))
                                         .transform(train.where(F.col("fold") == k))) for k in range(folds)]
             cross = {"cv_mean_accuracy": fmean(scores), "cv_std_accuracy": pstdev(scores)}
-        stages = _fit(train, learner)
+        stages = fit_stages(train, learner)
         back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
         model = TextModel(kind, PipelineModel([*stages, back]))
         scored = model.pipeline.transform(test).withColumn("predicted", F.col("predicted_label").cast("int"))
@@ -99,14 +99,18 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
         rows.unpersist()
 
 
-def _confidence(scored: DataFrame):
-    """Largest class probability; margins without probabilities go through a softmax."""
+def class_probabilities(scored: DataFrame):
+    """Probabilities by class as an array; margins without probabilities go through a softmax."""
     if "probability" in scored.columns:
-        return F.array_max(vector_to_array("probability"))
+        return vector_to_array("probability")
     margins = vector_to_array("rawPrediction")
     top = F.array_max(margins)
     total = F.aggregate(margins, F.lit(0.0), lambda acc, m: acc + F.exp(m - top))
-    return 1.0 / total
+    return F.transform(margins, lambda m: F.exp(m - top) / total)
+
+
+def _confidence(scored: DataFrame):
+    return F.array_max(class_probabilities(scored))
 
 
 def predict_categories(df: DataFrame, model: TextModel | PipelineModel) -> DataFrame:

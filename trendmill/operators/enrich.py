@@ -170,21 +170,3 @@ def analytics_columns(df: DataFrame) -> DataFrame:
         **temporal.calendar(publish),
         **temporal.time_flags(publish),
     })
-
-
-def baseline_predictions(df: DataFrame) -> DataFrame:
-    """Rule-made prediction columns, so the prediction views have rows without a model.
-
-    Every seventh video stays unscored.  Trained models replace these columns.
-    """
-    seq = F.col("seq")
-    scored = seq % 7 != 6
-    return df.withColumns({
-        "nlp_predicted_category": F.when(
-            scored, F.when(seq % 5 == 0, F.lit(24)).otherwise(F.col("category_id"))),
-        "nlp_category_confidence": F.when(scored, F.round(0.5 + (seq % 50) / 100.0, 2)),
-        "ml_predicted_views": F.when(
-            scored, F.floor(F.col("views") * (60 + seq % 90) / 100.0).cast("double")),
-        "ml_predicted_engagement_rate": F.when(
-            scored, F.col("engagement_rate") * (80 + seq % 40) / 100.0),
-    })

@@ -11,7 +11,7 @@ from trendmill.plans.registry import query
 from trendmill.plans.sqltext import (
     RATE, band, enriched_sql, hours, tag_count, titles, videos_sql, with_tables, words,
 )
-from trendmill.plans.tables import enriched
+from trendmill.plans.tables import enriched, scored
 
 NOW = "2002-01-01 00:00:00"
 _REST = ["description", "tags", "category_id", "channel_title", "publish_date"]
@@ -258,7 +258,7 @@ SELECT video_id, views, CAST(coalesce(nlp_predicted_category, -1) AS INTEGER) AS
        doubles="nlp_category_confidence ml_predicted_views")
 def align_predictions(spark, sf):
     names = ["nlp_predicted_category", "nlp_category_confidence", "ml_predicted_views"]
-    scores = enriched(spark, sf).where("ml_predicted_views IS NOT NULL").select("video_id", *names)
+    scores = scored(spark, sf).where("ml_predicted_views IS NOT NULL").select("video_id", *names)
     return joins.align_predictions(
         videos(spark, sf).select("video_id", "views"), scores,
         {"nlp_predicted_category": -1, "nlp_category_confidence": 0.0, "ml_predicted_views": None})

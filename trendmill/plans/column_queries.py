@@ -13,7 +13,7 @@ from trendmill.plans.sqltext import (
     RATE, band, enriched_sql, hours, in_list, part_of_day, q, ratio, tag_count, videos_sql,
     with_tables, words,
 )
-from trendmill.plans.tables import enriched
+from trendmill.plans.tables import enriched, scored
 
 
 @query("engagement_rate", videos_sql(f"""
@@ -272,7 +272,7 @@ SELECT video_id, abs(views - ml_predicted_views) AS views_prediction_error,
   {band('abs(views - ml_predicted_views) / views', *K.ERROR_BANDS, closed='<=')} AS views_prediction_quality
 FROM enriched"""), doubles="views_prediction_error engagement_prediction_error")
 def prediction_quality(spark, sf):
-    return views.prediction_quality(enriched(spark, sf)).select(
+    return views.prediction_quality(scored(spark, sf)).select(
         "video_id", "views_prediction_error", "engagement_prediction_error", "views_prediction_quality")
 
 

@@ -1,4 +1,4 @@
-"""E*: evaluation figures over deterministic prediction columns."""
+"""E*: evaluation figures over predictions of models that did not see the rows."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from trendmill.operators import evaluate
 from trendmill.plans.metric_queries import histogram_sql
 from trendmill.plans.registry import query
 from trendmill.plans.sqltext import enriched_sql, in_list
-from trendmill.plans.tables import enriched
+from trendmill.plans.tables import scored
 
 ACTUAL, PREDICTED = "category_id", "nlp_predicted_category"
 
@@ -32,7 +32,7 @@ _SUMMARY = """CAST(sum(support) AS BIGINT) AS total_samples, sum(hits) / sum(sup
 
 
 def _scored(spark, sf):
-    return enriched(spark, sf).where(F.col(PREDICTED).isNotNull())
+    return scored(spark, sf).where(F.col(PREDICTED).isNotNull())
 
 
 @query("classification_metrics", enriched_sql(f"SELECT {_SUMMARY} FROM classes", _PAIRS, _CLASSES),
@@ -77,30 +77,30 @@ _ERROR_DIGITS = "mse:-3 rmse:3 mae:4 r2 explained_variance mape mape_pct residua
 SELECT {_errors('CAST(views AS DOUBLE)', 'ml_predicted_views')} FROM enriched
 WHERE views IS NOT NULL AND ml_predicted_views IS NOT NULL"""), doubles=_ERROR_DIGITS)
 def regression_metrics(spark, sf):
-    return evaluate.regression_metrics(enriched(spark, sf), F.col("views"), F.col("ml_predicted_views"))
+    return evaluate.regression_metrics(scored(spark, sf), F.col("views"), F.col("ml_predicted_views"))
 
 
 @query("evaluate_engagement", enriched_sql(f"""
 SELECT *, r2 >= 0.85 AS meets_threshold FROM (
   SELECT 'views' AS target, {_errors('CAST(views AS DOUBLE)', 'ml_predicted_views')} FROM enriched WHERE {_VALID}
   UNION ALL SELECT 'engagement_rate', {_errors('engagement_rate', 'ml_predicted_engagement_rate')}
-  FROM enriched WHERE {_VALID} AND ml_predicted_engagement_rate IS NOT NULL)"""), doubles=_ERROR_DIGITS)
+  FROM enriched WHERE {_VALID} AND engagement_rate IS NOT NULL AND ml_predicted_engagement_rate IS NOT NULL)"""), doubles=_ERROR_DIGITS)
 def evaluate_engagement(spark, sf):
-    return evaluate.evaluate_engagement(enriched(spark, sf))
+    return evaluate.evaluate_engagement(scored(spark, sf))
 
 
 @query("evaluate_nlp", enriched_sql(
     f"SELECT *, accuracy >= 0.85 AS meets_threshold FROM (SELECT {_SUMMARY} FROM classes)", _KNOWN, _CLASSES),
        doubles="accuracy precision recall f1")
 def evaluate_nlp(spark, sf):
-    return evaluate.evaluate_nlp(enriched(spark, sf))
+    return evaluate.evaluate_nlp(scored(spark, sf))
 
 
 @query("category_accuracy", enriched_sql("""
 SELECT a AS category_id, count(*) AS samples, avg(CASE WHEN a = p THEN 1.0 ELSE 0.0 END) AS accuracy
 FROM pairs GROUP BY 1""", _KNOWN), doubles="accuracy")
 def category_accuracy(spark, sf):
-    return evaluate.category_accuracy(enriched(spark, sf))
+    return evaluate.category_accuracy(scored(spark, sf))
 
 
 @query("roc_auc", """
@@ -133,7 +133,7 @@ def auc_rank(spark, sf):
 
 def model_metrics(spark, sf):
     """One row per evaluated target: the table the comparisons read."""
-    df = enriched(spark, sf)
+    df = scored(spark, sf)
     regress = evaluate.evaluate_engagement(df).select(
         F.concat(F.col("target"), F.lit("_prediction")).alias("model"), F.lit("regression").alias("model_type"),
         F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("double").alias("f1"), "r2", "rmse")
@@ -149,7 +149,7 @@ MODEL_METRICS = f"""models AS (
   FROM (SELECT {_errors('CAST(views AS DOUBLE)', 'ml_predicted_views')} FROM enriched WHERE {_VALID})
   UNION ALL SELECT 'engagement_rate_prediction', 'regression', NULL, NULL, r2, rmse
   FROM (SELECT {_errors('engagement_rate', 'ml_predicted_engagement_rate')} FROM enriched
-    WHERE {_VALID} AND ml_predicted_engagement_rate IS NOT NULL)
+    WHERE {_VALID} AND engagement_rate IS NOT NULL AND ml_predicted_engagement_rate IS NOT NULL)
   UNION ALL SELECT 'nlp_categorization', 'classification', accuracy, f1, NULL, NULL
   FROM (SELECT {_SUMMARY} FROM classes))"""
 
@@ -179,11 +179,11 @@ _RESIDUALS = "points AS (SELECT views - ml_predicted_views AS x FROM enriched WH
 @query("residual_distribution", enriched_sql(histogram_sql("x", 50), _RESIDUALS),
        doubles="bin_start:3 bin_end:3 mean:3 stddev:3")
 def residual_distribution(spark, sf):
-    return evaluate.residual_distribution(enriched(spark, sf))
+    return evaluate.residual_distribution(scored(spark, sf))
 
 
 @query("residual_quantiles", enriched_sql(
     "SELECT " + ", ".join(f"quantile_cont(x, {p}) AS p{p[2:]}" for p in ("0.05", "0.25", "0.50", "0.75", "0.95"))
     + " FROM points", _RESIDUALS), doubles="p05 p25 p50 p75 p95")
 def residual_quantiles(spark, sf):
-    return evaluate.residual_quantiles(enriched(spark, sf))
+    return evaluate.residual_quantiles(scored(spark, sf))

@@ -16,7 +16,7 @@ from trendmill.plans.evaluation_queries import model_metrics, models_sql
 from trendmill.plans.quality_queries import _SCORE, checked, suite_sql
 from trendmill.plans.registry import query
 from trendmill.plans.sqltext import enriched_sql, ratio, tag_count, titles, videos_sql, words
-from trendmill.plans.tables import enriched
+from trendmill.plans.tables import scored
 from trendmill.session import scratch_path
 from trendmill.sources import files, sinks
 
@@ -202,8 +202,8 @@ FROM enriched"""
 
 def _land_predictions(spark, sf):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("seq") % 3).cast("int"))
-    scored = enriched(spark, sf).select(*_PREDICTED, day.alias("day"))
-    return sinks.write_predictions(scored, scratch_path(spark, "predictions"), F.col("day")).drop("day")
+    rows = scored(spark, sf).select(*_PREDICTED, day.alias("day"))
+    return sinks.write_predictions(rows, scratch_path(spark, "predictions"), F.col("day")).drop("day")
 
 
 @query("write_predictions", enriched_sql(_BATCHED), doubles="nlp_category_confidence ml_predicted_views")

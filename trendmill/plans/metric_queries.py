@@ -11,7 +11,7 @@ from trendmill.plans.clean_queries import HOURLY_SQL
 from trendmill.plans.column_queries import AUDIENCE_SQL, audience_sql
 from trendmill.plans.registry import query
 from trendmill.plans.sqltext import band, enriched_sql, q, titles, videos_sql, with_tables
-from trendmill.plans.tables import enriched
+from trendmill.plans.tables import enriched, scored
 
 
 @query("dashboard_metrics", enriched_sql("""
@@ -168,7 +168,7 @@ LEFT JOIN (SELECT CAST(least(floor(({value} - lo) / w), {bins - 1}) AS INTEGER)
     "points AS (SELECT abs(views - ml_predicted_views) AS x FROM enriched WHERE ml_predicted_views IS NOT NULL)"),
        doubles="bin_start:3 bin_end:3 mean:3 stddev:3")
 def error_histogram(spark, sf):
-    return metrics.error_histogram(enriched(spark, sf))
+    return metrics.error_histogram(scored(spark, sf))
 
 
 @query("views_and_engagement_histogram", enriched_sql(
@@ -188,13 +188,13 @@ WHERE nlp_predicted_category IS NOT NULL AND nlp_predicted_category <> -1"""
 
 @query("nlp_scorecard", enriched_sql(f"SELECT {_CARD}"), doubles="accuracy avg_confidence")
 def nlp_scorecard(spark, sf):
-    return metrics.nlp_scorecard(enriched(spark, sf))
+    return metrics.nlp_scorecard(scored(spark, sf))
 
 
 @query("nlp_scorecard_by_category", enriched_sql(f"SELECT category_id, {_CARD} GROUP BY category_id"),
        doubles="accuracy avg_confidence")
 def nlp_scorecard_by_category(spark, sf):
-    return metrics.nlp_scorecard(enriched(spark, sf), "category_id")
+    return metrics.nlp_scorecard(scored(spark, sf), "category_id")
 
 
 @query("trending_speed_funnel", enriched_sql(f"""
@@ -267,7 +267,7 @@ SELECT video_id, views AS actual_views, ml_predicted_views AS predicted_views,
 FROM enriched WHERE ml_predicted_views IS NOT NULL"""),
        doubles="predicted_views residual views_prediction_error")
 def actual_vs_predicted(spark, sf):
-    return metrics.actual_vs_predicted(enriched(spark, sf))
+    return metrics.actual_vs_predicted(scored(spark, sf))
 
 
 @query("best_publishing_hours", enriched_sql("""
@@ -304,7 +304,7 @@ SELECT count(*) AS videos, count(*) FILTER (views > 1000000) AS viral_videos,
     AS close_prediction_share FROM enriched"""),
        doubles="viral_share high_engagement_share fast_trending_share nlp_accuracy close_prediction_share")
 def kpi_monitor(spark, sf):
-    return metrics.kpi_monitor(enriched(spark, sf))
+    return metrics.kpi_monitor(scored(spark, sf))
 
 
 def people(spark, sf):

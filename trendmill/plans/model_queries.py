@@ -17,27 +17,16 @@ from trendmill.operators import audience
 from trendmill.operators.enrich import analytics_columns
 from trendmill.plans.registry import query
 from trendmill.plans.sqltext import (
-    RATE, band, hours, in_list, ratio, tag_count, videos_sql, with_tables, words,
+    COMBINED, RATE, band, hours, in_list, ratio, tag_count, tokens, videos_sql, with_tables, words,
 )
 from trendmill.session import scratch_path
 
 
-def _cleaned(expr: str) -> str:
-    return (rf"regexp_replace(regexp_replace(regexp_replace(lower({expr}), 'http\S+|www\S+', '', 'g'), "
-            rf"'[@#][\pL\pN\pM_]+', '', 'g'), '[^a-z]+', ' ', 'g')")
-
-
-def _tokens(expr: str) -> str:
-    return (f"list_filter(str_split({_cleaned(expr)}, ' '), "
-            f"lambda t: length(t) > 2 AND t NOT IN {in_list(K.STOP_WORDS)})")
-
-
-_COMBINED = "concat_ws(' ', title, title, description, regexp_replace(tags, '[|,;]', ' ', 'g'))"
-TOKENS_SQL = f"doc_tokens AS (SELECT doc_id, category_id, {_tokens(_COMBINED)} AS tokens FROM doc_videos)"
+TOKENS_SQL = f"doc_tokens AS (SELECT doc_id, category_id, {tokens(COMBINED)} AS tokens FROM doc_videos)"
 
 
 @query("preprocess_text", with_tables(
-    f"SELECT doc_id, array_to_string({_tokens('description')}, ' ') AS clean_text FROM doc_videos", "docs"))
+    f"SELECT doc_id, array_to_string({tokens('description')}, ' ') AS clean_text FROM doc_videos", "docs"))
 def preprocess_text(spark, sf):
     return doc_videos(spark, sf).select("doc_id", text.preprocess_text(F.col("description")).alias("clean_text"))
 

@@ -6,7 +6,7 @@ from trendmill import constants as K
 from trendmill.operators import views
 from trendmill.plans.registry import query
 from trendmill.plans.sqltext import band, enriched_sql, part_of_day, titles
-from trendmill.plans.tables import enriched
+from trendmill.plans.tables import enriched, scored
 
 AS_OF = "2002-01-01"
 
@@ -115,7 +115,7 @@ FROM enriched WHERE ml_predicted_views IS NOT NULL AND nlp_predicted_category IS
        doubles="engagement_rate ml_predicted_engagement_rate engagement_prediction_error "
                "nlp_category_confidence ml_predicted_views views_prediction_error")
 def ml_predictions_analysis(spark, sf):
-    return views.ml_predictions_analysis(enriched(spark, sf))
+    return views.ml_predictions_analysis(scored(spark, sf))
 
 
 @query("dashboard_summary", enriched_sql(f"""
@@ -138,7 +138,7 @@ SELECT count(*) AS total_videos, count(DISTINCT video_id) AS unique_videos,
   CAST(date_diff('day', CAST(max(trending_date) AS DATE), DATE '{AS_OF}') AS INTEGER) AS days_since_last_trending
 FROM enriched WHERE views > 0"""), doubles=MEANS + " avg_ml_error_rate")
 def dashboard_summary(spark, sf):
-    return views.dashboard_summary(enriched(spark, sf), as_of=AS_OF)
+    return views.dashboard_summary(scored(spark, sf), as_of=AS_OF)
 
 
 @query("high_performance_videos", enriched_sql("""
