@@ -87,19 +87,25 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", max_terms: int = MAX_TERMS
     )
 
 
+def term_counts(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """(key, term, tf).  A frame that is partitioned by ``key`` is counted where it is."""
+    return df.select(key, F.explode(terms(F.col(tokens))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
 def tfidf_weights(df: DataFrame, key: str, tokens: str = "tokens", max_terms: int = MAX_TERMS,
                   min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """Length-one tf-idf weights as rows ``(key, term, weight)``.
+    """Length-one tf-idf weights as rows ``(key, term, weight)``, with the vocabulary of ``vocabulary``.
 
-    The vocabulary holds at most ``max_terms`` terms, which bounds the broadcast.
+    ``key`` names a row.  The vocabulary holds at most ``max_terms`` terms, which bounds the broadcast.
     """
-    known = vocabulary(df, tokens, max_terms, min_df, max_df).select("term", "idf")
-    # Terms outside the vocabulary are gone before anything is shuffled.
-    raw = (
-        df.select(key, F.explode(terms(F.col(tokens))).alias("term"))
-        .join(F.broadcast(known), "term")
-        .groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("raw"))
+    counts, n = term_counts(df, key, tokens), df.agg(F.count("*")).scalar()
+    known = (
+        counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+        .where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df)))
+        .orderBy(F.desc("total"), "term").limit(max_terms)
+        .select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
+    raw = counts.join(F.broadcast(known), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 

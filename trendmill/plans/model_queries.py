@@ -19,7 +19,7 @@ from trendmill.plans.registry import query
 from trendmill.plans.sqltext import (
     COMBINED, RATE, band, hours, in_list, ratio, tag_count, tokens, videos_sql, with_tables, words,
 )
-from trendmill.session import scratch_path
+from trendmill.session import scratch_path, spread
 
 
 TOKENS_SQL = f"doc_tokens AS (SELECT doc_id, category_id, {tokens(COMBINED)} AS tokens FROM doc_videos)"
@@ -85,7 +85,7 @@ vocabulary AS (
   HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT count(*) FROM doc_tokens)
   ORDER BY sum(tf) DESC, term LIMIT 10000)"""), doubles="weight")
 def tfidf_vectors(spark, sf):
-    return text.tfidf_weights(text.combine_text(doc_videos(spark, sf)), "doc_id")
+    return text.tfidf_weights(text.combine_text(spread(doc_videos(spark, sf), "doc_id")), "doc_id")
 
 
 _TAGS = (r"list_filter(list_transform(regexp_split_to_array(tags, '[|,;]'), "

@@ -60,6 +60,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df, key: str):
+    """``df`` dealt by ``key`` over all shuffle partitions, for work that costs more a row than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def materialise(df, name: str = "stage"):
     """Write a frame that several passes read to the shared folder and read it back.
 
