@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from statistics import fmean, pstdev
 
 from pyspark.ml import PipelineModel
@@ -12,13 +13,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendmill import constants as K
+from trendmill.models.calibrate import Sigmoids, calibrated, platt_sigmoids
 from trendmill.models.split import mark_train, with_folds
 from trendmill.models.text import combine_text, fit_tfidf, has_text, terms
 from trendmill.operators.evaluate import classification_metrics
+from trendmill.session import materialise
 
 
 @dataclass
@@ -26,6 +29,7 @@ class TextModel:
     kind: str
     pipeline: PipelineModel
     metrics: dict = field(default_factory=dict)
+    sigmoids: Sigmoids = field(default_factory=list)
 
 
 def training_set(df: DataFrame) -> DataFrame:
@@ -68,6 +72,7 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
     """Stratified 80/20 split, cross-validated accuracy on the training side, figures on the test side.
 
     Each fold learns its own vocabulary and weights.  ``folds=0`` skips the cross-validation.
+    A margin classifier gets its probabilities from sigmoids fitted to the margins of the folds held out.
     """
     rows = mark_train(training_set(df), key, "category_id", few=True).withColumn("terms", terms(F.col("tokens")))
     rows = with_folds(rows, key, max(folds, 1)).persist()
@@ -80,14 +85,20 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
         train, test = rows.where("is_train"), rows.where("NOT is_train")
         accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
         learner = classifier(kind, sizes.get(True, 0), **size)
-        cross = {}
+        cross, sigmoids = {}, []
         if folds > 1:
-            scores = [accuracy.evaluate(PipelineModel(fit_stages(train.where(F.col("fold") != k), learner))
-                                        .transform(train.where(F.col("fold") == k))) for k in range(folds)]
+            held = [PipelineModel(fit_stages(train.where(F.col("fold") != k), learner))
+                    .transform(train.where(F.col("fold") == k)) for k in range(folds)]
+            scores = [accuracy.evaluate(part) for part in held]
+            if kind == "svm":
+                margins = reduce(DataFrame.unionByName, (
+                    part.select("label", vector_to_array("rawPrediction").alias("margins")) for part in held))
+                margins = materialise(margins, "margins")
+                sigmoids = platt_sigmoids(margins, "label", F.col("margins"), len(labels))
             cross = {"cv_mean_accuracy": fmean(scores), "cv_std_accuracy": pstdev(scores)}
         stages = fit_stages(train, learner)
         back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-        model = TextModel(kind, PipelineModel([*stages, back]))
+        model = TextModel(kind, PipelineModel([*stages, back]), sigmoids=sigmoids)
         scored = model.pipeline.transform(test).withColumn("predicted", F.col("predicted_label").cast("int"))
         figures = classification_metrics(scored, "category_id", "predicted").first().asDict()
         model.metrics = {
@@ -99,23 +110,25 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
         rows.unpersist()
 
 
-def class_probabilities(scored: DataFrame):
-    """Probabilities by class as an array; margins without probabilities go through a softmax."""
+def class_probabilities(scored: DataFrame, sigmoids: Sigmoids = ()):
+    """Probabilities by class as an array; margins go through their sigmoids, or, without any, through a softmax."""
     if "probability" in scored.columns:
         return vector_to_array("probability")
     margins = vector_to_array("rawPrediction")
+    if sigmoids:
+        return calibrated(margins, sigmoids)
     top = F.array_max(margins)
     total = F.aggregate(margins, F.lit(0.0), lambda acc, m: acc + F.exp(m - top))
     return F.transform(margins, lambda m: F.exp(m - top) / total)
 
 
-def _confidence(scored: DataFrame):
-    return F.array_max(class_probabilities(scored))
+def _confidence(scored: DataFrame, sigmoids: Sigmoids):
+    return F.array_max(class_probabilities(scored, sigmoids))
 
 
 def predict_categories(df: DataFrame, model: TextModel | PipelineModel) -> DataFrame:
     """Adds the predicted category and its confidence; rows without enough text get -1 and 0."""
-    pipeline = model.pipeline if isinstance(model, TextModel) else model
+    pipeline, sigmoids = (model.pipeline, model.sigmoids) if isinstance(model, TextModel) else (model, [])
     keep = df.columns
     rows = combine_text(df)
     scored = pipeline.transform(rows.withColumn("terms", terms(F.col("tokens"))))
@@ -123,7 +136,7 @@ def predict_categories(df: DataFrame, model: TextModel | PipelineModel) -> DataF
     return scored.select(
         *keep,
         F.when(usable, F.col("predicted_label").cast("int")).otherwise(-1).alias("nlp_predicted_category"),
-        F.when(usable, _confidence(scored)).otherwise(0.0).alias("nlp_category_confidence"))
+        F.when(usable, _confidence(scored, sigmoids)).otherwise(0.0).alias("nlp_category_confidence"))
 
 
 def feature_importance(df: DataFrame, model: TextModel, top: int = 20) -> DataFrame:
@@ -145,11 +158,18 @@ def feature_importance(df: DataFrame, model: TextModel, top: int = 20) -> DataFr
 
 
 def save_text_model(model: TextModel, path: str) -> None:
-    model.pipeline.write().overwrite().save(path)
-
-
-def load_text_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    """The pipeline and, beside it, a table of its sigmoids."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    spark = SparkSession.active()
+    rows = [(model.kind, i, float(a), float(b)) for i, (a, b) in enumerate(model.sigmoids)] or [(model.kind, None, None, None)]
+    spark.createDataFrame(rows, "kind string, place int, slope double, offset double").write.mode("overwrite").parquet(
+        f"{path}/sigmoids")
+
+
+def load_text_model(path: str) -> TextModel:
+    rows = SparkSession.active().read.parquet(f"{path}/sigmoids").orderBy("place").collect()  # one row per class
+    sigmoids = [(r["slope"], r["offset"]) for r in rows if r["place"] is not None]
+    return TextModel(rows[0]["kind"], PipelineModel.load(f"{path}/pipeline"), sigmoids=sigmoids)
 
 
 def metrics_frame(df: DataFrame, name: str, metrics: dict) -> DataFrame:
