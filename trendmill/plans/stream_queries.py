@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendmill.adapters import event_videos, trending
@@ -42,12 +45,12 @@ _REGIONS = ["US", "GB", "IN", "FR", "XX"]
     ",\n".join(f"rows_{r} AS (SELECT * FROM enriched WHERE region_code = '{r}')" for r in _REGIONS)),
        doubles="quality_score:2")
 def stream_validate(spark, sf):
-    """One file lands per region and is a batch of its own."""
-    df, path = checked(spark, sf), scratch_path(spark, "stream-in")
+    """Each region lands in a folder of as many files as its rows need; a folder's files are one batch."""
+    df, path, reports = checked(spark, sf), scratch_path(spark, "stream-in"), []
     for region in _REGIONS:
-        df.where(F.col("region_code") == region).coalesce(1).write.mode("append").parquet(path)
-    out = jobs.stream_validate(spark, path, scratch_path(spark, "stream-out"), df.schema, order="seq")
-    return out.drop("batch")
+        df.where(F.col("region_code") == region).write.parquet(f"{path}/{region}")
+        reports.append(jobs.stream_validate(spark, f"{path}/{region}", scratch_path(spark, "stream-out"), df.schema, order="seq"))
+    return reduce(DataFrame.unionByName, reports).drop("batch")
 
 
 @query("stream_dashboard_refresh", with_tables("""

@@ -37,7 +37,7 @@ def stream_json_to_parquet(spark: SparkSession, landing: str, target: str, schem
 
 
 def stream_validate(spark: SparkSession, landing: str, target: str, schema: T.StructType,
-                    suite=quality.SUITE, order: str | None = None, files_per_batch: int = 1,
+                    suite=quality.SUITE, order: str | None = None, files_per_batch: int = 1000,
                     checkpoint: str | None = None) -> DataFrame:
     """Every new batch of files is scored by the whole suite; one report row per batch.
 
