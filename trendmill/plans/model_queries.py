@@ -220,7 +220,7 @@ def _figures(spark, df, model):
 def train_random_forest(spark, sf):
     df = _regression_input(spark, sf)
     rows, names = engagement.training_set(df)
-    return _figures(spark, df, engagement.fit_and_score(
+    return _figures(spark, df, engagement.fit_once(
         rows, names, "views", engagement.random_forest()))
 
 
@@ -228,7 +228,7 @@ def train_random_forest(spark, sf):
 def train_gradient_boosting(spark, sf):
     df = _regression_input(spark, sf)
     rows, names = engagement.training_set(df)
-    return _figures(spark, df, engagement.fit_and_score(
+    return _figures(spark, df, engagement.fit_once(
         rows, names, "views", engagement.gradient_boosting()))
 
 
@@ -237,7 +237,7 @@ def fit_and_score(spark, sf):
     """With cross-validation."""
     df = _regression_input(spark, sf)
     rows, names = engagement.training_set(df)
-    return _figures(spark, df, engagement.fit_and_score(
+    return _figures(spark, df, engagement.fit_once(
         rows, names, "engagement_rate", engagement.random_forest()))
 
 
