@@ -3,7 +3,8 @@
 Markup is stripped so that every block of text is a line.  What a line weighs is its length without the
 text of links.  The weight of a sliding window of lines surges where the content begins and dives where it
 ends; the text between stays.  Elements that are no content by their name, or whose class is named as such
-outright, are left out; other mentions in a class only make the text lighter.
+outright, are left out; other mentions in a class only make the text lighter.  The element that holds most of
+the heaviest region lends its short paragraphs to the text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -40,10 +42,17 @@ _NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spo
 _HEADER = {"header", "topbar"}
 #: Words that hide or mark nothing unless they are a class of their own (hidden-xs, skip-lines).
 _ALONE = {"hidden", "skip"}
+#: Words that name a part of a page's frame; behind a listed word they leave its meaning alone (sidebar-left, ad-slot).
+_FRAME = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "form",
+          "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "panel", "posts",
+          "primary", "right", "row", "secondary", "section", "slot", "stories", "thread", "title", "top", "unit", "wrap",
+          "wrapper"}
 #: Words before which a noise word tells what else is or isn't on the page.
 _ABOUT = {"no", "not", "has", "with", "without", "hide"}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Blocks that hold one line of text.
+_LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES_P = _BLOCK - {"html", "body"}
 #: Elements that end at the next one of these, up to these around them.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
@@ -56,14 +65,19 @@ _CONTENT, _MENTION, _NO_CONTENT, _HIDDEN = range(4)
 
 
 def _class_kind(name: str, value: str) -> int:
-    """What a class, id or role says: noise if a class is a listed word, or its first class begins with one."""
+    """What a class, id or role says.
+
+    Noise is a class that is a listed word, or a first class of a listed word and words for parts of a
+    frame; any other class with a listed word only mentions it (notice-board, share-price).
+    """
     kind = _CONTENT
     for at, single in enumerate(value.strip("\"'").split()):
         parts = [p.lower() for p in _PART.findall(single)]
         for i, part in enumerate(parts):
             if not (part in _NOISE or part in _HEADER and name != "h1"):
                 continue
-            if len(parts) == 1 or at == i == 0 and part not in _ALONE:
+            framed = all(p in _NOISE or p in _FRAME or p in _HEADER for p in parts[1:])
+            if len(parts) == 1 or at == i == 0 and framed and part not in _ALONE:
                 return _NO_CONTENT
             if part not in _ALONE and not _ABOUT & set(parts[:i]):
                 kind = _MENTION
@@ -90,6 +104,9 @@ class _Line(NamedTuple):
     weight: float = 0.0
     inside: bool = False  # an article element
     heading: bool = False
+    place: int = -1  # the element around the line's own block
+    own: bool = False  # a paragraph of its own
+    around: tuple[int, ...] = ()  # that element and three more around it
 
 
 class _Open(NamedTuple):
@@ -98,6 +115,7 @@ class _Open(NamedTuple):
     light: bool
     article: bool
     link: bool
+    serial: int
 
 
 class _Page:
@@ -114,6 +132,15 @@ class _Page:
         self.stack: list[_Open] = []
         self.noise = self.light = self.article = self.links = 0
         self.heading = False
+        self.count = 0
+        # Where each name is open and where any block is, so that no tag has to walk the stack.
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.open_link = -1
+
+    def last(self, *names: str) -> int:
+        """The depth of the innermost open element of these names; -1 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
     def add(self, text: str) -> None:
         if self.noise:
@@ -127,7 +154,14 @@ class _Page:
             text = " ".join(html.unescape("".join(self.part)).split())
             if text:
                 weight = max(0, len(text) - self.linked) * (LIGHT if self.light else 1)
-                self.lines.append(_Line(text, weight, self.article > 0, self.heading))
+                # A paragraph or heading lies in the element around it, bare text in the innermost block.
+                depth = len(self.blocks) - 1
+                block = self.stack[self.blocks[depth]].name if depth >= 0 else ""
+                if block in _LEAF:
+                    depth -= 1
+                around = tuple(self.stack[i].serial for i in self.blocks[max(0, depth - 3):depth + 1])
+                self.lines.append(_Line(text, weight, self.article > 0, self.heading, around[-1] if around else -1,
+                                        block == "p", around))
             self.part, self.linked = [], 0
 
     def gap(self) -> None:
@@ -143,7 +177,14 @@ class _Page:
         if kind != _CONTENT or article:
             self.gap()
         link = name == "a" and "href" in attributes.lower()
-        self.stack.append(_Open(name, kind > _MENTION, kind == _MENTION, article, link))
+        depth = len(self.stack)
+        self.count += 1
+        self.stack.append(_Open(name, kind > _MENTION, kind == _MENTION, article, link, self.count))
+        self.at.setdefault(name, []).append(depth)
+        if name in _BLOCK:
+            self.blocks.append(depth)
+        if link:
+            self.open_link = depth
         self.noise += kind > _MENTION
         self.light += kind == _MENTION
         self.article += article
@@ -151,6 +192,8 @@ class _Page:
 
     def close(self, depth: int) -> None:
         """Close all that is open from ``depth`` on."""
+        for x in reversed(self.stack[depth:]):
+            self.at[x.name].pop()
         for x in self.stack[depth:]:
             if x.light or x.article:
                 self.gap()
@@ -161,29 +204,26 @@ class _Page:
             if x.noise:
                 self.gap()
         del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        if self.open_link >= depth:
+            self.open_link = -1
 
     def imply_ends(self, name: str) -> None:
         """Close what a start tag ends without an end tag."""
         if name in _CLOSES_P:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i].name == "p":
-                    self.close(i)
-                    break
-                if self.stack[i].name in _BLOCK or self.stack[i].name == "button":
-                    break
+            depth = self.last("p")
+            if depth >= 0 and depth == self.blocks[-1] and depth > self.last("button"):
+                self.close(depth)
         if name in _CLOSES:
             ends, around = _CLOSES[name]
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i].name in ends:
-                    self.close(i)
-                    break
-                if self.stack[i].name in around:
-                    break
-        if name == "a" and self.links:  # links don't nest
-            for i, x in enumerate(self.stack):
-                if x.link:
-                    self.links -= 1
-                    self.stack[i] = x._replace(link=False)
+            depth = self.last(*ends)
+            if depth > self.last(*around):
+                self.close(depth)
+        if name == "a" and self.open_link >= 0:  # links don't nest
+            self.stack[self.open_link] = self.stack[self.open_link]._replace(link=False)
+            self.links -= 1
+            self.open_link = -1
 
 
 def to_lines(page: str, loose: bool = False) -> list[_Line]:
@@ -215,15 +255,14 @@ def to_lines(page: str, loose: bool = False) -> list[_Line]:
             if name not in _VOID:
                 out.open(name, attributes)
         else:
-            stack = out.stack
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            depth = out.last(name)
             if name in _BLOCK:
                 out.end()
                 out.heading = False
-            if depth is None:
+            if depth < 0:
                 continue
             if name not in _BLOCK and name not in _ASIDE:  # an inline end closes no block around it
-                if any(x.name in _BLOCK for x in stack[depth + 1:]):
+                if out.blocks and out.blocks[-1] > depth:
                     continue
             out.close(depth)
     if at < size:
@@ -267,11 +306,33 @@ def _regions(lines: list[_Line], begin: int, end: int, weights: list[float], sur
     return joined
 
 
+def _lone_links(lines: list[_Line]) -> list[_Line]:
+    """An article's paragraphs that are one link, apart from lists of links, weigh as text."""
+    homes = {x.place for x in lines if x.inside and x.weight and x.own}
+    return [x._replace(weight=float(len(x.text)))
+            if x.inside and x.own and not x.weight and x.text and x.place in homes
+            and not (i and lines[i - 1].text and not lines[i - 1].weight)
+            and not (i + 1 < len(lines) and lines[i + 1].text and not lines[i + 1].weight) else x
+            for i, x in enumerate(lines)]
+
+
+def _with_neighbours(lines: list[_Line], a: int, b: int, begin: int, end: int, home: int,
+                     tail: float) -> tuple[int, int]:
+    """A region together with the text beside it in the element that holds the content, without a light end outside it."""
+    while b - 1 > a and lines[b - 1].weight <= tail and home not in lines[b - 1].around:
+        b -= 1
+    while a > begin and lines[a - 1].weight and lines[a - 1].place == home:
+        a -= 1
+    while b < end and lines[b].weight and lines[b].place == home:
+        b += 1
+    return a, b
+
+
 def _choose(lines: list[_Line]) -> str:
     inside = sum(x.weight for x in lines if x.inside)
     article = any(x.inside for x in lines) and inside >= ARTICLE * sum(x.weight for x in lines if not x.inside)
     if article:
-        lines = [x if x.inside else _Line() for x in lines]
+        lines = _lone_links([x if x.inside else _Line() for x in lines])
     segments, begin = [], None
     for i, line in enumerate([*lines, _Line()]):
         if line.text and begin is None:
@@ -282,13 +343,27 @@ def _choose(lines: list[_Line]) -> str:
     peak = max((max(weights) for _, _, weights in segments), default=0)
     # All text of an article but its links is content; elsewhere content has to stand out.
     surge, dive = (0, 0) if article else (min(SURGE, peak * SURGE_SHARE), min(DIVE, peak * DIVE_SHARE))
-    regions = [r for a, b, weights in segments for r in _regions(lines, a, b, weights, surge, dive)]
-    if not regions:
+    found = [(_regions(lines, a, b, weights, surge, dive), a, b) for a, b, weights in segments]
+    totals = {r: sum(x.weight for x in lines[r[0]:r[1]]) for regions, _, _ in found for r in regions}
+    if not totals:
         return ""
-    # In an article what notices cut apart belongs together; else the heaviest region and its like.
-    totals = [sum(x.weight for x in lines[a:b]) for a, b in regions]
-    least = 0 if article else max(totals) / 10
-    return "\n".join(x.text for (a, b), total in zip(regions, totals) if total >= least for x in lines[a:b])
+    # In an article what notices cut apart belongs together; else the heaviest region, its like, and what
+    # shares the heaviest region's element.
+    first, last = max(totals, key=totals.get)
+    mass: dict[int, float] = {}
+    for x in lines[first:last]:
+        mass[x.place] = mass.get(x.place, 0.0) + x.weight
+    home = max(mass, key=mass.get)
+    least = 0 if article else totals[first, last] / 10
+    chosen: set[int] = set()
+    for regions, begin, end in found:
+        for a, b in regions:
+            if totals[a, b] >= least or any(x.place == home for x in lines[a:b]):
+                chosen.update(range(*_with_neighbours(lines, a, b, begin, end, home, -1 if article else dive)))
+    if not article and chosen:
+        # Short paragraphs of that element that a notice cut off from the rest.
+        chosen.update(i for i, x in enumerate(lines) if x.place == home and x.own and x.weight)
+    return "\n".join(lines[i].text for i in sorted(chosen))
 
 
 def main_text(page: str | None) -> str:
@@ -308,8 +383,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_main_text(pages: DataFrame, keep: list[str], column: str = "html") -> DataFrame:
-    """The columns ``keep`` with text and n_chars (code points) of every page; a page is judged alone."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields)
-    rows = pages.select(*keep, F.col(column).alias("__html"))
-    return (rows.mapInArrow(_extract, f"{types}, text string")
-            .withColumn("n_chars", F.length("text").cast("long")))
+    """The columns ``keep`` with text and n_chars (code points) of every page; a page is judged alone.
+
+    Null and empty pages have an empty text; repeated rows stay, each with its text; an empty table gives an empty
+    one; the time for a page follows its length.  Kept columns named ``text`` or ``n_chars`` give way to the results.
+    """
+    kept = [c for c in keep if c.lower() not in ("text", "n_chars")]
+    rows = pages.select(*kept, F.col(column).alias("__html"))
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "__html"), T.StructField("text", T.StringType())])
+    return rows.mapInArrow(_extract, schema).withColumn("n_chars", F.length("text").cast("long"))
