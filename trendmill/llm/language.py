@@ -189,7 +189,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
 
     Null texts and texts without a letter are ``und`` with score 0; a text too short for an n-gram,
     or without a known one, gets the first language with score 0; ties go to the first by name.
+    Repeated rows are judged alike; an empty table gives no rows.  Kept columns named ``lang_pred`` or
+    ``score`` give way to the results.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     rows = docs.select(*keep, F.col(text).alias("__text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return rows.mapInArrow(partial(_predict, model=model, text="__text"), f"{types}, lang_pred string, score double")

@@ -338,12 +338,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_
     # One representative per component; the rows without a set stay by their own key.
     chosen = (found.where(F.col("component").isNotNull()).groupBy("component")
               .agg(F.min(F.struct(F.col("__id").isNull().alias("late"), "__id", "__content")).alias("pick"))
-              .select(F.col("pick.__id").alias("__id"), F.col("pick.__content").alias("__content"), F.lit(True).alias("single")))
+              .select(F.col("pick.__id").alias("__id"), F.col("pick.__content").alias("__content"), F.lit(True).alias("__single")))
     empty = (found.where(F.col("component").isNull()).select("__id", "__content").distinct()
-             .withColumn("single", F.lit(False)))
+             .withColumn("__single", F.lit(False)))
     picked = chosen.unionByName(empty)
     keyed = docs.withColumn("__same", F.xxhash64(F.col(text)))
     rows = keyed.join(picked, F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__content")))
     # Rows equal in id and text are copies of one: only one of them stays.
-    one = rows.where("single").dropDuplicates(["__id", "__content"])
-    return one.unionByName(rows.where(~F.col("single"))).select(*docs.columns)
+    one = rows.where("__single").dropDuplicates(["__id", "__content"])
+    return one.unionByName(rows.where(~F.col("__single"))).select(*docs.columns)

@@ -405,11 +405,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100, gram: int = 40, tex
     runs = materialise(pieces.groupBy("bucket").applyInArrow(
         lambda key, table: _repeats(key, table, width, buckets), "id long, content long, start long, count long"), "repeats")
     free_shuffles(spark)
-    runs = (runs.distinct().groupBy("id", "content")
+    runs = (runs.distinct().groupBy(F.col("id").alias("__own"), F.col("content").alias("__same"))
             .agg(F.collect_list("start").alias("__starts"), F.collect_list("count").alias("__counts")))
     carried = docs.select(*keep, F.coalesce(F.col(ident).cast("long"), F.lit(_LAST)).alias("__id"),
                           F.xxhash64(text).alias("__content"), F.col(text).alias("__text"))
-    found = carried.join(runs, (carried["__id"] == runs["id"]) & (carried["__content"] == runs["content"]), "left")
+    found = carried.join(runs, (F.col("__id") == F.col("__own")) & (F.col("__content") == F.col("__same")), "left")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return (found.select(*keep, "__text", "__starts", "__counts")
             .mapInArrow(partial(_cut, width=width), f"{types}, n_bytes long, n_removed long, n_spans long, kept binary"))
