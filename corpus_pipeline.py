@@ -1,6 +1,8 @@
 """A corpus pipeline over ``documents``: rules, near duplicates, decontamination, mixing, shards.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.  Null texts and texts
+without words fail the rules; null ids and null sources are values of their own; extra columns pass through all
+stages; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,22 +26,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8 or more.
+
+    Rows equal in id and text are one document; texts without words all stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of ten words of a benchmark item, or the whole of a shorter item; repeated rows alike."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for: floor(rate) copies and one more by a draw from id and text.
+
+    A source of null is one of its own; with one source every document stays once."""
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in 16 shards of near equal bytes, with size, shard and slot."""
+    """The mix in 16 shards of near equal bytes, with size, shard and slot; repeated rows share a shard, each has a slot."""
     return sharding.shard_documents(docs, 16)
 
 
