@@ -133,6 +133,20 @@ couldn didn doesn hadn hasn haven isn mightn mustn needn shan shouldn wasn weren
 won wouldn for
 """.split()
 
+# Noun endings and what stands in their place, and nouns without a regular plural.
+NOUN_ENDINGS = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"),
+                ("men", "man"), ("ies", "y")]
+IRREGULAR_NOUNS = {
+    "analyses": "analysis", "axes": "axis", "bases": "basis", "calves": "calf", "children": "child",
+    "crises": "crisis", "criteria": "criterion", "dice": "die", "elves": "elf", "feet": "foot", "geese": "goose",
+    "halves": "half", "hypotheses": "hypothesis", "indices": "index", "knives": "knife", "leaves": "leaf",
+    "lice": "louse", "lives": "life", "loaves": "loaf", "matrices": "matrix", "men": "man", "mice": "mouse",
+    "news": "news", "oxen": "ox", "people": "people", "phenomena": "phenomenon", "selves": "self",
+    "series": "series", "sheaves": "sheaf", "shelves": "shelf", "species": "species", "teeth": "tooth",
+    "theses": "thesis", "thieves": "thief", "vertices": "vertex", "wives": "wife", "wolves": "wolf",
+    "women": "woman",
+}
+
 # Model input columns.
 NUMERIC_FEATURES = [
     "publish_hour", "publish_day_of_week", "publish_month", "publish_year",

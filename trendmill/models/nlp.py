@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trendmill import constants as K
 from trendmill.models.calibrate import Sigmoids, calibrated, platt_sigmoids
+from trendmill.models.lemmas import fit_lemmas, lemmatise
 from trendmill.models.split import mark_train, with_folds
 from trendmill.models.text import combine_text, fit_tfidf, has_text, terms
 from trendmill.operators.evaluate import classification_metrics
@@ -30,12 +31,19 @@ class TextModel:
     pipeline: PipelineModel
     metrics: dict = field(default_factory=dict)
     sigmoids: Sigmoids = field(default_factory=list)
+    lemmas: DataFrame | None = None
 
 
-def training_set(df: DataFrame) -> DataFrame:
-    """Rows with a known category and enough text, with ``tokens`` and a ``label`` from 0."""
+def known_words(df: DataFrame) -> DataFrame:
+    """The lemma table of the texts with a known category; it sees words, never labels."""
+    return fit_lemmas(combine_text(df.where(F.col("category_id").isin(*K.CATEGORY_TITLES))))
+
+
+def training_set(df: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """Rows with a known category and enough text, with lemmatised ``tokens`` and a ``label`` from 0."""
     known = df.where(F.col("category_id").isin(*K.CATEGORY_TITLES))
-    rows = combine_text(known).where(has_text(F.col("tokens")))
+    lemmas = known_words(df) if lemmas is None else lemmas
+    rows = lemmatise(combine_text(known), "tokens", lemmas).where(has_text(F.col("tokens")))
     # At most fifteen categories, in ascending order.
     labels = known_labels(rows)
     return rows.withColumn("label", (F.array_position(labels, F.col("category_id")) - 1).cast("int"))
@@ -72,9 +80,11 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
     """Stratified 80/20 split, cross-validated accuracy on the training side, figures on the test side.
 
     Each fold learns its own vocabulary and weights.  ``folds=0`` skips the cross-validation.
+    Lemmas are learnt once from all texts and kept with the model.
     A margin classifier gets its probabilities from sigmoids fitted to the margins of the folds held out.
     """
-    rows = mark_train(training_set(df), key, "category_id", few=True).withColumn("terms", terms(F.col("tokens")))
+    lemmas = materialise(known_words(df), "lemmas")
+    rows = mark_train(training_set(df, lemmas), key, "category_id", few=True).withColumn("terms", terms(F.col("tokens")))
     rows = with_folds(rows, key, max(folds, 1)).persist()
     try:
         sizes = {r["is_train"]: r["n"] for r in rows.groupBy("is_train").agg(F.count("*").alias("n")).collect()}
@@ -98,7 +108,7 @@ def train_text_model(df: DataFrame, kind: str = "naive_bayes", folds: int = 5, k
             cross = {"cv_mean_accuracy": fmean(scores), "cv_std_accuracy": pstdev(scores)}
         stages = fit_stages(train, learner)
         back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-        model = TextModel(kind, PipelineModel([*stages, back]), sigmoids=sigmoids)
+        model = TextModel(kind, PipelineModel([*stages, back]), sigmoids=sigmoids, lemmas=lemmas)
         scored = model.pipeline.transform(test).withColumn("predicted", F.col("predicted_label").cast("int"))
         figures = classification_metrics(scored, "category_id", "predicted").first().asDict()
         model.metrics = {
@@ -128,9 +138,13 @@ def _confidence(scored: DataFrame, sigmoids: Sigmoids):
 
 def predict_categories(df: DataFrame, model: TextModel | PipelineModel) -> DataFrame:
     """Adds the predicted category and its confidence; rows without enough text get -1 and 0."""
-    pipeline, sigmoids = (model.pipeline, model.sigmoids) if isinstance(model, TextModel) else (model, [])
+    if not isinstance(model, TextModel):
+        model = TextModel("", model)
+    pipeline, sigmoids = model.pipeline, model.sigmoids
     keep = df.columns
     rows = combine_text(df)
+    if model.lemmas is not None:
+        rows = lemmatise(rows, "tokens", model.lemmas)
     scored = pipeline.transform(rows.withColumn("terms", terms(F.col("tokens"))))
     usable = has_text(F.col("tokens"))
     return scored.select(
@@ -158,18 +172,22 @@ def feature_importance(df: DataFrame, model: TextModel, top: int = 20) -> DataFr
 
 
 def save_text_model(model: TextModel, path: str) -> None:
-    """The pipeline and, beside it, a table of its sigmoids."""
+    """The pipeline and, beside it, tables of its sigmoids and lemmas."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     spark = SparkSession.active()
     rows = [(model.kind, i, float(a), float(b)) for i, (a, b) in enumerate(model.sigmoids)] or [(model.kind, None, None, None)]
     spark.createDataFrame(rows, "kind string, place int, slope double, offset double").write.mode("overwrite").parquet(
         f"{path}/sigmoids")
+    lemmas = model.lemmas if model.lemmas is not None else spark.createDataFrame([], "token string, lemma string")
+    lemmas.write.mode("overwrite").parquet(f"{path}/lemmas")
 
 
 def load_text_model(path: str) -> TextModel:
-    rows = SparkSession.active().read.parquet(f"{path}/sigmoids").orderBy("place").collect()  # one row per class
+    spark = SparkSession.active()
+    rows = spark.read.parquet(f"{path}/sigmoids").orderBy("place").collect()  # one row per class
     sigmoids = [(r["slope"], r["offset"]) for r in rows if r["place"] is not None]
-    return TextModel(rows[0]["kind"], PipelineModel.load(f"{path}/pipeline"), sigmoids=sigmoids)
+    return TextModel(rows[0]["kind"], PipelineModel.load(f"{path}/pipeline"), sigmoids=sigmoids,
+                     lemmas=spark.read.parquet(f"{path}/lemmas"))
 
 
 def metrics_frame(df: DataFrame, name: str, metrics: dict) -> DataFrame:

@@ -31,31 +31,6 @@ def has_text(tokens: Column) -> Column:
     return F.length(F.concat_ws(" ", tokens)) > MIN_TEXT
 
 
-def plural_lemmas(tokens: DataFrame) -> DataFrame:
-    """(token, lemma) pairs derived from a vocabulary: ``cats`` -> ``cat`` if ``cat`` occurs too.
-
-    ``tokens`` has one column ``token``.
-    """
-    vocabulary = tokens.distinct()
-    stems = vocabulary.where("token LIKE '%s'").select(
-        "token", F.expr("substring(token, 1, length(token) - 1)").alias("lemma"))
-    return stems.join(vocabulary.select(F.col("token").alias("lemma")), "lemma", "left_semi").select(
-        "token", "lemma")
-
-
-def lemmatise(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFrame:
-    """Replace tokens by their lemma where the table has one.
-
-    Tokens meet the table in a join, so it may be of any size; they come back
-    together per row key, which one document's length bounds.
-    """
-    single = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    mapped = single.join(lemmas, "token", "left").select(
-        key, F.struct("pos", F.coalesce("lemma", "token").alias("t")).alias("entry"))
-    back = mapped.groupBy(key).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-    return back.select(key, F.array_compact(F.col("entries.t")).alias(tokens))
-
-
 def terms(tokens: Column) -> Column:
     """Single tokens followed by pairs of neighbours."""
     pairs = F.transform(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trendmill import constants as K
 from trendmill.adapters import doc_videos, videos
-from trendmill.models import age, engagement, features, nlp, text
+from trendmill.models import age, engagement, features, lemmas, nlp, text
 from trendmill.models.split import mark_train
 from trendmill.operators import audience
 from trendmill.operators.enrich import analytics_columns
@@ -37,31 +37,48 @@ def combine_text(spark, sf):
     return text.combine_text(doc_videos(spark, sf)).select("doc_id", F.concat_ws(" ", "tokens").alias("combined"))
 
 
-@query("lemmatise_text", with_tables("""
-SELECT doc_id, coalesce(string_agg(coalesce(lemma, token), ' ' ORDER BY pos), '') AS lemmas
-FROM doc_tokens LEFT JOIN singles USING (doc_id) LEFT JOIN lemma_table USING (token) GROUP BY doc_id""",
-    "docs", TOKENS_SQL, """singles AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM doc_tokens),
-vocabulary AS (SELECT DISTINCT token FROM singles),
-lemma_table AS (SELECT v.token, left(v.token, length(v.token) - 1) AS lemma FROM vocabulary v
-  JOIN vocabulary s ON s.token = left(v.token, length(v.token) - 1) WHERE v.token LIKE '%s')"""))
+def _lemma_ctes(source: str) -> str:
+    """The lemma table of the tokens in ``source`` and ``lemma_tokens``, its texts with lemmas in place."""
+    irregular = ", ".join(f"('{t}', '{b}')" for t, b in K.IRREGULAR_NOUNS.items())
+    rules = " UNION ALL ".join(
+        f"SELECT token, 1 AS rank, left(token, length(token) - {len(e)}) || '{b}' AS lemma FROM known WHERE token LIKE '%{e}'"
+        for e, b in K.NOUN_ENDINGS)
+    return f"""singles AS (
+  SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM {source}),
+known AS (SELECT DISTINCT token FROM singles),
+forms AS (SELECT token, 0 AS rank, base AS lemma FROM known JOIN (VALUES {irregular}) irregular(token, base) USING (token)
+  UNION ALL {rules}),
+lemma_table AS (SELECT token, lemma FROM (
+  SELECT f.*, row_number() OVER (PARTITION BY f.token ORDER BY rank, length(f.lemma), f.lemma) AS place
+  FROM forms f JOIN known k ON k.token = f.lemma) WHERE place = 1),
+lemma_tokens AS (SELECT d.doc_id, any_value(d.category_id) AS category_id,
+  coalesce(list(coalesce(lemma, token) ORDER BY pos) FILTER (WHERE token IS NOT NULL), []) AS tokens
+  FROM {source} d LEFT JOIN singles USING (doc_id) LEFT JOIN lemma_table USING (token) GROUP BY d.doc_id)"""
+
+
+@query("lemmatise_text", with_tables(
+    "SELECT doc_id, array_to_string(tokens, ' ') AS lemmas FROM lemma_tokens", "docs", TOKENS_SQL, _lemma_ctes("doc_tokens")))
 def lemmatise_text(spark, sf):
-    """Lemmas from plural pairs found in the texts themselves."""
+    """Base forms by ending and exception, among the words of the texts themselves."""
     rows = text.combine_text(doc_videos(spark, sf)).select("doc_id", "tokens")
-    lemmas = text.plural_lemmas(rows.select(F.explode("tokens").alias("token")))
-    return text.lemmatise(rows, "doc_id", "tokens", lemmas).select("doc_id", F.concat_ws(" ", "tokens").alias("lemmas"))
+    done = lemmas.lemmatise(rows, "tokens", lemmas.fit_lemmas(rows))
+    return done.select("doc_id", F.concat_ws(" ", "tokens").alias("lemmas"))
 
 
-_TRAINING = f"""training AS (
-  SELECT doc_id, category_id, tokens, dense_rank() OVER (ORDER BY category_id) - 1 AS label FROM doc_tokens
-  WHERE category_id IN {in_list(K.CATEGORY_TITLES)} AND length(array_to_string(tokens, ' ')) > 10)"""
+_KNOWN_DOCS = f"known_docs AS (SELECT * FROM doc_tokens WHERE category_id IN {in_list(K.CATEGORY_TITLES)})"
+_TRAINING = """training AS (
+  SELECT doc_id, category_id, tokens, dense_rank() OVER (ORDER BY category_id) - 1 AS label FROM lemma_tokens
+  WHERE length(array_to_string(tokens, ' ')) > 10)"""
 
 
 @query("nlp_training_set", with_tables("""
-SELECT doc_id, category_id, CAST(label AS INTEGER) AS label, CAST(len(tokens) AS INTEGER) AS n_tokens FROM training""",
-    "docs", TOKENS_SQL, _TRAINING))
+SELECT doc_id, category_id, CAST(label AS INTEGER) AS label, CAST(len(tokens) AS INTEGER) AS n_tokens,
+  array_to_string(tokens, ' ') AS clean_text FROM training""",
+    "docs", TOKENS_SQL, _KNOWN_DOCS, _lemma_ctes("known_docs"), _TRAINING))
 def nlp_training_set(spark, sf):
+    """With the lemmatised text that training reads."""
     return nlp.training_set(doc_videos(spark, sf)).select(
-        "doc_id", "category_id", "label", F.size("tokens").alias("n_tokens"))
+        "doc_id", "category_id", "label", F.size("tokens").alias("n_tokens"), F.concat_ws(" ", "tokens").alias("clean_text"))
 
 
 @query("stratified_split", videos_sql("""
