@@ -336,11 +336,11 @@ def etl_run(spark, sf):
 
 
 def run_batch(spark, source: str, target: str, name: str) -> DataFrame:
+    """A run replaces the table's rows; until it ends, and if it dies, the name shows those of the run before."""
     raw = files.load_by_extension(spark, source, "parquet")
     columns = raw.columns
     done = clean.batch_transform(clean.batch_clean(raw, TRENDING_ORDER))
-    written = sinks.write_partitioned_parquet(done, target)
-    return sinks.register_table(written, target, name).select(
+    return sinks.publish_partitioned(done, target, name).select(
         *columns, *[c for c in done.columns if c not in columns])
 
 

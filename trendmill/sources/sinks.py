@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendmill.operators.metrics import sample_rows
+from trendmill.sources.versions import (
+    append_version, current_folder, point_table, publish_table, replace_version,
+)
 
 ROWS_PER_FILE = 5_000_000
 
@@ -32,20 +35,16 @@ def write_partitioned_parquet(df: DataFrame, path: str, keys=("region_code", "ca
 
 
 def register_table(df: DataFrame, path: str, table: str) -> DataFrame:
-    """Make written Parquet a catalogue table with its partitions.
+    """Make written Parquet readable under a catalogue name, whose earlier meaning holds until the switch.
 
     ``df`` is the read-back frame of the path, whose columns and partition keys it declares.
     """
-    spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"CREATE TABLE {table} USING PARQUET LOCATION '{path}'")
-    if spark.catalog.tableExists(table) and _is_partitioned(df, table):
-        spark.sql(f"MSCK REPAIR TABLE {table}")
-    return spark.table(table)
+    return point_table(df, path, table)
 
 
-def _is_partitioned(df: DataFrame, table: str) -> bool:
-    return any(c.isPartition for c in df.sparkSession.catalog.listColumns(table))
+def publish_partitioned(df: DataFrame, path: str, table: str, keys=("region_code", "category_id")) -> DataFrame:
+    """The batch job's clean table: a new version in folders by key, and the catalogue name switched to it."""
+    return publish_table(df, path, table, keys, compression="snappy", maxRecordsPerFile=ROWS_PER_FILE)
 
 
 def write_raw_zone(df: DataFrame, path: str, ingest_date: Column, fmt: str = "parquet") -> DataFrame:
@@ -71,14 +70,14 @@ def write_raw_zone(df: DataFrame, path: str, ingest_date: Column, fmt: str = "pa
 
 def append_or_overwrite_dataset(df: DataFrame, path: str, mode: str = "append",
                                 table: str | None = None) -> DataFrame:
-    """Add to or replace a dataset; optionally as a catalogue table."""
+    """Add to or replace a dataset; optionally under a catalogue name.
+
+    Rows are added to the current version and replaced by a new one, so readers never find a half-written dataset.
+    """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
-    if table:
-        df.write.mode(mode).format("parquet").option("path", path).saveAsTable(table)
-        return df.sparkSession.table(table)
-    df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    written = (append_version if mode == "append" else replace_version)(df, path)
+    return point_table(written, current_folder(df.sparkSession, path), table) if table else written
 
 
 def write_predictions(df: DataFrame, path: str, batch_date: Column) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from trendmill.operators import quality
 from trendmill.session import scratch_path
 from trendmill.sources.files import items_to_rows
+from trendmill.sources.versions import complete_numbers
 
 
 def _now(stream: DataFrame, checkpoint: str):
@@ -62,12 +63,7 @@ def _newest_manifest(spark: SparkSession, target: str, before: int | None = None
 
     A manifest counts once it is complete, which its writer's success file tells.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/manifest")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return {}
-    numbers = [int(s.getPath().getName()) for s in files.listStatus(path)
-               if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    numbers = complete_numbers(spark, f"{target}/manifest", "")
     numbers = [n for n in numbers if before is None or n < before]
     if not numbers:
         return {}
