@@ -127,6 +127,27 @@ def load_all_regions(spark, sf):
     return files.load_all_regions(spark, landing.land_regions(spark, sf)).select(*_CSV_COLUMNS)
 
 
+_ODD = "(region_code = 'IN' AND coalesce(tags, '') LIKE '%,%')"
+_MIXED_SQL = _CSV_SQL.replace(_REGION_DESCRIPTION, f"CASE WHEN region_code = 'IN' THEN 'plain' ELSE {_REGION_DESCRIPTION} END")
+
+
+@query("load_regions", videos_sql(f"{_MIXED_SQL} WHERE region_code IN ('US', 'IN', 'FR') AND NOT {_ODD}"))
+def load_regions(spark, sf):
+    """Regions with different headers, one without a needed column, one with broken records."""
+    done = files.load_regions(spark, landing.land_mixed_regions(spark, sf), scratch_path(spark, "loaded"))
+    return done.rows.select(*_CSV_COLUMNS)
+
+
+@query("region_load_report", videos_sql(f"""
+SELECT region_code, if(region_code = 'GB', 'rejected', 'loaded') AS status,
+  count(*) FILTER (WHERE region_code <> 'GB' AND NOT {_ODD}) AS rows, count(*) FILTER (WHERE {_ODD}) AS broken_rows,
+  CASE WHEN region_code = 'GB' THEN 'columns missing: views' END AS reason
+FROM videos WHERE region_code IN {_LOADER} GROUP BY region_code"""))
+def region_load_report(spark, sf):
+    """What became of each region, with the reason for a refusal."""
+    return files.load_regions(spark, landing.land_mixed_regions(spark, sf), scratch_path(spark, "loaded")).report
+
+
 @query("missing_regions", videos_sql(f"""
 SELECT r AS region_code FROM (SELECT unnest([{', '.join(f"'{r}'" for r in K.LOADER_REGIONS)}]) AS r)
 WHERE r NOT IN (SELECT region_code FROM videos)"""))

@@ -86,3 +86,19 @@ def land_regions(spark: SparkSession, sf_dir: str) -> str:
     (region_rows(spark, sf_dir).hint("rebalance", "file").write.partitionBy("file")
      .option("header", True).option("escape", '"').csv(folder))
     return folder
+
+
+def land_mixed_regions(spark: SparkSession, sf_dir: str) -> str:
+    """Regions as different providers land them: FR with its columns in another order and one more, GB without a
+    ``views`` column, IN without quotes, so a comma in its tags begins a field too many."""
+    folder, rows = scratch_path(spark, "mixed-regions"), region_rows(spark, sf_dir).hint("rebalance", "file")
+    head = [c for c in rows.columns if c != "file"]
+    shapes = {"US": head, "FR": ["trending_date", *reversed(head)], "GB": [c for c in head if c != "views"], "IN": head}
+    for region, columns in shapes.items():
+        own = rows.where(F.col("file") == f"{region}videos.csv").withColumn("trending_date", F.lit("23.01.02"))
+        if region == "IN":
+            own = own.withColumn("description", F.lit("plain"))
+        quote = "" if region == "IN" else '"'
+        own.select(*columns).write.option("header", True).option("escape", '"').option("quote", quote).csv(
+            f"{folder}/{region}videos.csv")
+    return folder

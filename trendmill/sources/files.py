@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,10 +80,13 @@ REGION_CSV = T.StructType([T.StructField(c, T.StringType()) for c in (
     "dislikes", "comment_count", "thumbnail_link", "description")])
 
 
+_BROKEN = "__broken"
+
+
 def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """Regional CSV; quotes inside quoted fields are doubled."""
+    """Regional CSV; quotes inside quoted fields are doubled, and another header than the known one is an error."""
     return (spark.read.schema(REGION_CSV).option("header", True).option("multiLine", multi_line)
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("enforceSchema", False).csv(path))
 
 
 def _region_of(path: Column) -> Column:
@@ -89,15 +95,71 @@ def _region_of(path: Column) -> Column:
 
 
 def load_region_csv(spark: SparkSession, folder: str, region: str, multi_line: bool = True) -> DataFrame:
-    """One region's CSV, a file or a folder of parts.
+    """One region's CSV, a file or a folder of parts, its columns taken by the names in the header.
 
-    Fields may hold line breaks, so by default a file is read by one task: land
-    large regions as folders of parts, or pass ``multi_line=False`` for files
+    Columns beyond the known ones are dropped, one that is missing is an error.  Fields may hold line breaks, so by
+    default a file is read by one task: land large regions as folders of parts, or pass ``multi_line=False`` for files
     without line breaks in fields, which Spark can split.
     """
     if region not in K.LOADER_REGIONS:
         raise ValueError(f"Region {region} not supported. Supported regions: {K.LOADER_REGIONS}")
-    return _csv(spark, f"{folder}/{region}videos.csv", multi_line).withColumn("region_code", F.lit(region))
+    return _by_header(spark, f"{folder}/{region}videos.csv", multi_line).select(
+        *REGION_CSV.names, F.lit(region).alias("region_code"))
+
+
+def _by_header(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The file's known columns and ``_BROKEN``, which holds the whole record where it has too few or too many fields.
+
+    Every part must have the header of the first; Spark refuses others.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
+    header = spark.read.options(**options).csv(path).columns
+    missing = [c for c in REGION_CSV.names if c not in header]
+    if missing:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _BROKEN]])
+    return spark.read.options(**options, enforceSchema=False, columnNameOfCorruptRecord=_BROKEN).schema(schema).csv(path)
+
+
+@dataclass
+class LoadedRegions:
+    """``rows`` of the regions that could be read, a ``report`` of one row a region found, and the ``broken`` records."""
+    rows: DataFrame
+    report: DataFrame
+    broken: DataFrame
+
+
+def load_regions(spark: SparkSession, folder: str, target: str, multi_line: bool = True) -> LoadedRegions:
+    """Every supported region that is there, read once and written to ``target`` as Parquet; what can't be read is reported.
+
+    A region whose columns are missing or whose files are damaged contributes no rows, and its report says why.  Records with
+    too few or too many fields are set aside whole in ``broken``.  Regions without a file get no report row.  Runs a
+    job a region, at most one for each supported region; ``target`` must be a new folder.
+    """
+    found = {r["region_code"] for r in region_files(spark, folder).select("region_code").distinct().collect()}
+    report, loaded = [], []
+    for region in sorted(found):
+        path = f"{target}/region={region}"
+        try:
+            rows = _by_header(spark, f"{folder}/{region}videos.csv", multi_line).select(*REGION_CSV.names, _BROKEN)
+            rows.write.mode("error").parquet(path)
+        except (ValueError, PySparkException, Py4JJavaError) as error:  # what Spark raises for a file it can't read
+            report.append((region, "rejected", str(error).splitlines()[0][:500]))
+            continue
+        report.append((region, "loaded", None))
+        loaded.append(path)
+    schema = T.StructType([*REGION_CSV.fields, T.StructField(_BROKEN, T.StringType())])
+    every = spark.read.schema(schema).parquet(*loaded) if loaded else spark.createDataFrame([], schema)
+    region = F.regexp_extract(F.col("_metadata.file_path"), r"/region=([A-Z]{2})/", 1) if loaded else F.lit("")
+    every = every.select("*", region.alias("region_code"))
+    counts = every.groupBy("region_code").agg(
+        F.count_if(F.col(_BROKEN).isNull()).alias("n"), F.count(_BROKEN).alias("n_broken"))
+    told = spark.createDataFrame(report, "region_code string, status string, reason string").join(
+        counts, "region_code", "left").select(
+        "region_code", "status", F.coalesce("n", F.lit(0)).alias("rows"),
+        F.coalesce("n_broken", F.lit(0)).alias("broken_rows"), "reason")
+    return LoadedRegions(every.where(F.col(_BROKEN).isNull()).drop(_BROKEN), told,
+                         every.where(F.col(_BROKEN).isNotNull()).select("region_code", F.col(_BROKEN).alias("record")))
 
 
 def region_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +177,8 @@ def missing_regions(spark: SparkSession, folder: str) -> DataFrame:
 def load_all_regions(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
     """Every supported region's CSV in one scan; the region comes from the path.
 
-    Regions without a file are simply absent (``missing_regions`` names them).
+    Regions without a file are simply absent (``missing_regions`` names them).  Files must have the known header;
+    ``load_regions`` takes others and sets aside what it can't read.
     """
     rows = _csv(spark, f"{folder}/*videos.csv", multi_line).withColumn(
         "region_code", _region_of(F.col("_metadata.file_path")))
