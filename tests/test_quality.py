@@ -59,3 +59,44 @@ def test_schema_round_trip(tmp_path):
         assert zones.load_schema(path) == schema
         assert zones.load_schema(path)["views"].metadata == schema["views"].metadata
     assert [len(zones.schema(n).fields) for n in ("raw", "cleaned", "analytics", "job_input")] == [15, 25, 34, 21]
+
+
+def plain_keys(rows, rule, kw):
+    """(success, observed, unexpected) of a distinct or compound check over a list of dicts."""
+    if rule == "compound_unique":
+        keys = [tuple(r[c] for c in kw["columns"]) for r in rows]
+        repeated = {k for k in keys if keys.count(k) > 1}
+        n = sum(k in repeated for k in keys)
+        return n == 0, len(repeated), n
+    values = [r[kw["column"]] for r in rows if r[kw["column"]] is not None]
+    if rule == "unique":
+        return len(values) == len(set(values)), len(set(values)), len(values) - len(set(values))
+    share = len(set(values)) / len(values) if values else None
+    return share is not None and share >= kw["min"], share, 0
+
+
+KEY_RULES = [("unique", {"column": "id"}), ("compound_unique", {"columns": ["id", "part"]}),
+             ("unique_proportion", {"column": "value", "min": 0.5}), ("unique", {"column": "id"}),
+             ("compound_unique", {"columns": ["part", "id"]}), ("unique", {"column": "part"}),
+             ("compound_unique", {"columns": ["value"]}), ("unique_proportion", {"column": "none", "min": 0.1})]
+
+
+def test_distinct_and_compound_checks_equal_plain_python(spark):
+    data = [dict(id=i % 40 if i % 9 else None, part="ab"[i % 2] if i % 7 else None, value=[0.5, 2.0, None, float(i)][i % 4],
+                 none=None, n=i) for i in range(120)] + [dict(id=1, part="a", value=2.0, none=None, n=-1)] * 60
+    df = spark.createDataFrame(data, "id int, part string, value double, none string, n int")
+    for rows, frame in ((data, df), ([], df.limit(0))):
+        got = {r.id: (r.success, r.observed, r.unexpected_count) for r in quality.run_suite(frame, KEY_RULES).collect()}
+        assert got == {i: plain_keys(rows, *rule) for i, rule in enumerate(KEY_RULES)}
+    got = {(r.part, r.id): (r.success, r.observed, r.unexpected_count)
+           for r in quality.run_suite(df, [r for r in KEY_RULES if r[1].get("column") != "part"], by=["part"]).collect()}
+    rules = [r for r in KEY_RULES if r[1].get("column") != "part"]
+    assert got == {(p, i): plain_keys([r for r in data if r["part"] == p], *rule)
+                   for p in ("a", "b", None) for i, rule in enumerate(rules)}
+
+
+def test_distinct_and_compound_checks_share_one_exchange_of_keys(spark):
+    plan = quality.run_suite(faulty(spark), [
+        ("unique", {"column": "video_id"}), ("unique_proportion", {"column": "title", "min": 0.1}),
+        ("compound_unique", {"columns": ["video_id", "region_code"]})])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 2 and plan.count("Range (") == 1

@@ -207,20 +207,40 @@ def fused_results(df: DataFrame, suite, by: list[str] | None = None, schema: T.S
     return grouped.select(*(by or []), F.inline(F.array(*results)))
 
 
+def _key_results(df: DataFrame, rules, by: list[str]) -> DataFrame:
+    """Distinct and compound checks, ``rules`` as (id, kind, arguments), over one exchange for all of them.
+
+    Every rule's columns are a grouping set, so the table is read once, rows combine by (rule, key) before the shuffle
+    and a hot key arrives as a few counts.  The keys' counts then add up to one row (per ``by`` group).  All rules
+    together may use 64 columns, Spark's limit for grouping sets.
+    """
+    keys = {i: list(dict.fromkeys([*by, *(kw["columns"] if kind == "compound_unique" else [kw["column"]])]))
+            for i, kind, kw in rules}
+    columns = list(dict.fromkeys(c for key in keys.values() for c in [*by, *key]))
+    sets = list(dict.fromkeys(tuple(sorted(key, key=columns.index)) for key in keys.values()))
+    counted = df.groupingSets([[F.col(c) for c in chosen] for chosen in sets], *map(F.col, columns)).agg(
+        F.count("*").alias("__n"), F.grouping_id().alias("__set"))
+    aggregates, results = [], []
+    for i, kind, kw in rules:
+        mask = sum(1 << place for place, c in enumerate(reversed(columns)) if c not in keys[i])
+        own, n = F.col("__set") == mask, F.col("__n")
+        own = own & (n > 1 if kind == "compound_unique" else F.col(kw["column"]).isNotNull())
+        aggregates += [F.count_if(own).alias(f"__keys{i}"), F.coalesce(F.sum(F.when(own, n)), F.lit(0)).alias(f"__rows{i}")]
+        found, rows = F.col(f"__keys{i}"), F.col(f"__rows{i}")
+        if kind == "unique":
+            results.append(_result(i, kind, kw, rows == found, found, rows - found))
+        elif kind == "unique_proportion":
+            share = F.try_divide(found, rows)
+            results.append(_result(i, kind, kw, _within(share, kw), share, F.lit(0)))
+        else:
+            results.append(_result(i, kind, kw, rows == 0, found, rows))
+    return counted.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*results)))
+
+
 def _own_frame(df: DataFrame, i: int, kind: str, kw: dict, order: str | None, by: list[str]) -> DataFrame:
     """The result of a check that needs a frame of its own; one row, or one per ``by`` group."""
-    column = F.col(kw["column"]) if "column" in kw else None
-    if kind == "unique":
-        stats = df.groupBy(*by).agg(F.count(column).alias("n"), F.count_distinct(column).alias("d"))
-        extra = F.col("n") - F.col("d")
-        result = _result(i, kind, kw, extra == 0, F.col("d"), extra)
-    elif kind == "unique_proportion":
-        stats = df.groupBy(*by).agg(F.try_divide(F.count_distinct(column), F.count(column)).alias("p"))
-        result = _result(i, kind, kw, _within(F.col("p"), kw), F.col("p"), F.lit(0))
-    elif kind == "compound_unique":
-        stats = compound_duplicates(df, kw["columns"], by)
-        result = _result(i, kind, kw, F.col("repeated_rows") == 0, F.col("repeated_keys"), F.col("repeated_rows"))
-    elif kind == "median":
+    column = F.col(kw["column"])
+    if kind == "median":
         stats = _every_group(df, exact_quantiles(df, by, kw["column"], {"median": 0.5}), by)
         result = _result(i, kind, kw, _within(F.col("median"), kw), F.col("median"), F.lit(0))
     else:
@@ -246,7 +266,11 @@ def compound_duplicates(df: DataFrame, columns, by: list[str] | None = None) ->
 
 
 def run_suite(df: DataFrame, suite=SUITE, order: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """Evaluate a whole suite, or, with ``by``, for every group of those columns."""
+    """Evaluate a whole suite, or, with ``by``, for every group of those columns.
+
+    Row, aggregate and schema checks share one aggregate, distinct and compound checks one exchange of keys; medians
+    and order checks take a frame each.
+    """
     by = by or []
     tested = [c for c in df.columns if c != order and c not in by]
     separate = [kind in _SEPARATE and _known(kw, df.columns) for kind, kw in suite]
@@ -255,12 +279,15 @@ def run_suite(df: DataFrame, suite=SUITE, order: str | None = None, by: list[str
         # Positions stay those of the suite, so the ids do too.
         shared = [("separate", {}) if own else rule for own, rule in zip(separate, suite)]
         frames.append(fused_results(df.select(*tested, *by), shared, by, df.select(*tested).schema))
-    frames += [_own_frame(df, i, kind, kw, order, by)
-               for i, (own, (kind, kw)) in enumerate(zip(separate, suite)) if own]
+    alone = [(i, kind, kw) for i, (own, (kind, kw)) in enumerate(zip(separate, suite)) if own]
+    keyed = [rule for rule in alone if rule[1] in _KEYED]
+    frames += [_key_results(df, keyed, by)] if keyed else []
+    frames += [_own_frame(df, i, kind, kw, order, by) for i, kind, kw in alone if kind not in _KEYED]
     return reduce(DataFrame.unionByName, frames)
 
 
-_SEPARATE = ("unique", "unique_proportion", "compound_unique", "median", "increasing")
+_KEYED = ("unique", "unique_proportion", "compound_unique")
+_SEPARATE = (*_KEYED, "median", "increasing")
 
 
 def load_suite(path: str) -> list:
