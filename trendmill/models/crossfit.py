@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from trendmill import constants as K
 from trendmill.models import nlp
 from trendmill.models.split import with_folds
-from trendmill.models.text import combine_text, has_text, terms
-from trendmill.session import materialise
+from trendmill.models.text import combine_text, fold_vocabularies, has_text, terms
+from trendmill.session import materialise, spread
 
 FOLDS = 5
 #: What the least squares read; null counts as 0.
@@ -38,6 +38,7 @@ def cross_fitted_categories(df: DataFrame, folds: int = FOLDS, kind: str = "naiv
     rows = rows.select(key, "category_id", "tokens", terms(F.col("tokens")).alias("terms"))
     rows = materialise(with_folds(rows, key, folds), "cross-fit-texts")
     known = rows.where(F.col("category_id").isin(*K.CATEGORY_TITLES) & has_text(F.col("tokens")))
+    vocabulary = fold_vocabularies(known, folds)
     parts = []
     for fold in range(folds):
         train = known.where(F.col("fold") != fold)
@@ -46,7 +47,7 @@ def cross_fitted_categories(df: DataFrame, folds: int = FOLDS, kind: str = "naiv
             raise ValueError(f"Insufficient training data: {sum(sizes.values())} samples")
         classes = F.array(*(F.lit(c) for c in sorted(sizes)))  # at most fifteen
         labelled = train.withColumn("label", (F.array_position(classes, F.col("category_id")) - 1).cast("int"))
-        model = PipelineModel(nlp.fit_stages(labelled, nlp.classifier(kind, sum(sizes.values()), **size)))
+        model = PipelineModel(nlp.fit_stages(labelled, nlp.classifier(kind, sum(sizes.values()), **size), vocabulary(fold)))
         scored = model.transform(rows.where(F.col("fold") == fold))
         chances = F.transform(nlp.class_probabilities(scored), lambda p: F.round(p, 9))
         best = F.array_max("chances")
@@ -116,5 +117,11 @@ def cross_fitted_engagement(df: DataFrame, features: list[str] = LINEAR_FEATURES
 
 
 def cross_fitted_predictions(df: DataFrame, folds: int = FOLDS, key: str = "video_id") -> DataFrame:
-    """All prediction columns by key, each row scored by models that did not see it.  ``key`` is unique in ``df``."""
-    return cross_fitted_categories(df, folds, key=key).join(cross_fitted_engagement(df, folds=folds, key=key), key, "left")
+    """All prediction columns by key, each row scored by models that did not see it.  ``key`` is unique in ``df``.
+
+    What the models read is written once, dealt over all tasks: texts cost more a row than their bytes tell.
+    """
+    read = [key, "title", "description", "tags", "category_id", "views", "engagement_rate"]
+    rows = df.select(*dict.fromkeys([*read, *LINEAR_FEATURES]))
+    rows = materialise(spread(rows, key), "cross-fit-rows")
+    return cross_fitted_categories(rows, folds, key=key).join(cross_fitted_engagement(rows, folds=folds, key=key), key, "left")
