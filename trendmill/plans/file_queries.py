@@ -77,15 +77,17 @@ def load_any_format(spark, sf):
     rows = landing.region_rows(spark, sf).withColumn("region_code", F.substring("file", 1, 2)).withColumn(
         "description", F.nullif(F.col("description"), F.lit("")))
     standard = files.standardize_columns(rows, None, F.lit(NOW))
-    # The CSV reader here splits lines, so line breaks travel as a marker.
-    flat = standard.withColumn("description", F.replace("description", F.lit("\n"), F.lit("\\n")))
     parts = []
     for fmt in ("parquet", "json", "csv"):
         path = scratch_path(spark, f"any-{fmt}")
-        source = flat if fmt == "csv" else standard
+        source = standard
+        if fmt == "csv":  # its reader here splits lines, so line breaks travel as a marker
+            source = standard.withColumn("description", F.replace("description", F.lit("\n"), F.lit("\\n")))
         writer = source.write.option("escape", '"')
         (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
         loaded = files.load_any_format(spark, path)
+        if fmt == "parquet":  # the other formats are landed from this copy, so the table is put together once
+            standard = spark.read.schema(standard.schema).parquet(path)
         if fmt == "csv":
             loaded = loaded.withColumn("description", F.replace("description", F.lit("\\n"), F.lit("\n")))
         parts.append(loaded.withColumn("fmt", F.lit(fmt)))
