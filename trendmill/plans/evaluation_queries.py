@@ -11,6 +11,7 @@ from trendmill.plans.metric_queries import histogram_sql
 from trendmill.plans.registry import query
 from trendmill.plans.sqltext import enriched_sql, in_list
 from trendmill.plans.tables import scored
+from trendmill.session import materialise
 
 ACTUAL, PREDICTED = "category_id", "nlp_predicted_category"
 
@@ -132,8 +133,12 @@ def auc_rank(spark, sf):
 
 
 def model_metrics(spark, sf):
-    """One row per evaluated target: the table the comparisons read."""
-    df = scored(spark, sf)
+    """One row per evaluated target: the table the comparisons read.
+
+    The columns of the three evaluations are written once rather than joined three times.
+    """
+    df = materialise(scored(spark, sf).select(
+        "views", "engagement_rate", "ml_predicted_views", "ml_predicted_engagement_rate", ACTUAL, PREDICTED), "evaluated")
     regress = evaluate.evaluate_engagement(df).select(
         F.concat(F.col("target"), F.lit("_prediction")).alias("model"), F.lit("regression").alias("model_type"),
         F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("double").alias("f1"), "r2", "rmse")
