@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trendmill.functions import bands
 from trendmill.operators.enrich import category_name
+from trendmill.session import materialise
 
 def in_view_order(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
     """Range-partitioned total order, applied to what is handed out."""
@@ -147,9 +148,19 @@ def dashboard_summary(df: DataFrame, as_of: str | None = None) -> DataFrame:
     predicted = F.col("nlp_predicted_category")
     today = F.to_date(F.lit(as_of)) if as_of else F.current_date()
     error = F.try_divide(F.abs(views - F.col("ml_predicted_views")), views)
-    return df.where("views > 0").agg(
+    rows = df.where("views > 0").select(
+        video, "views", "likes", "comments", rate, "category_id", "channel_title", "region_code", "publish_date",
+        "trending_date", "view_category", "engagement_category", predicted, error.alias("error"))
+    rows = materialise(rows, "dashboard-rows")
+    # Three distinct counts of one key are one row per key; as aggregates each of them would ship the key again.
+    per_video = rows.where(video.isNotNull()).groupBy(video).agg(
+        F.max(predicted.eqNullSafe(F.col("category_id")) & predicted.isNotNull()).alias("correct"),
+        F.max(predicted.isNotNull()).alias("predicted"))
+    counts = per_video.agg(
+        F.count("*").alias("unique_videos"), F.count_if("correct").alias("correct_nlp_predictions"),
+        F.count_if("predicted").alias("total_nlp_predictions"))
+    totals = rows.agg(
         F.count("*").alias("total_videos"),
-        F.count_distinct(video).alias("unique_videos"),
         *[a for a in traffic()[1:]],
         F.count_distinct("category_id").alias("unique_categories"),
         F.count_distinct("channel_title").alias("unique_channels"),
@@ -165,12 +176,14 @@ def dashboard_summary(df: DataFrame, as_of: str | None = None) -> DataFrame:
         F.count_if(F.col("engagement_category") == "Low").alias("low_engagement_videos"),
         F.count_if(F.col("engagement_category") == "Medium").alias("medium_engagement_videos"),
         F.count_if(F.col("engagement_category") == "High").alias("high_engagement_videos"),
-        F.count_distinct(F.when(predicted == F.col("category_id"), video)).alias("correct_nlp_predictions"),
-        F.count_distinct(F.when(predicted.isNotNull(), video)).alias("total_nlp_predictions"),
-        F.avg(error).alias("avg_ml_error_rate"),
+        F.avg("error").alias("avg_ml_error_rate"),
         F.date_diff(today, F.max("publish_date")).alias("days_since_last_video"),
         F.date_diff(today, F.max("trending_date")).alias("days_since_last_trending"),
     )
+    names = totals.columns
+    place = names.index("avg_ml_error_rate")
+    return totals.crossJoin(counts).select(  # one row each
+        "total_videos", "unique_videos", *names[1:place], "correct_nlp_predictions", "total_nlp_predictions", *names[place:])
 
 
 def high_performance_videos(df: DataFrame, min_views: int = 1_000_000,
