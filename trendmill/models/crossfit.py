@@ -7,7 +7,7 @@ table of scores by key, which the analytics table joins.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from trendmill import constants as K
 from trendmill.models import nlp
 from trendmill.models.split import with_folds
+from trendmill.models.store import side_by_side
 from trendmill.models.text import combine_text, fold_vocabularies, has_text, terms
 from trendmill.session import materialise, spread
 
@@ -32,17 +33,22 @@ def cross_fitted_categories(df: DataFrame, folds: int = FOLDS, kind: str = "naiv
 
     Vocabulary, weights and classifier of a fold come from the known categories of the other folds.  The class is the
     smallest category among the largest probabilities, all at nine digits.
-    Rows without enough text get -1 and 0.
+    Rows without enough text get -1 and 0.  The folds are fitted side by side.
     """
     rows = combine_text(df.select(key, "title", "description", "tags", "category_id"))
     rows = rows.select(key, "category_id", "tokens", terms(F.col("tokens")).alias("terms"))
     rows = materialise(with_folds(rows, key, folds), "cross-fit-texts")
     known = rows.where(F.col("category_id").isin(*K.CATEGORY_TITLES) & has_text(F.col("tokens")))
     vocabulary = fold_vocabularies(known, folds)
-    parts = []
-    for fold in range(folds):
+    # At most fifteen rows per fold.
+    counted = known.groupBy("fold", "category_id").agg(F.count("*").alias("n")).collect()
+
+    def scores(fold):
         train = known.where(F.col("fold") != fold)
-        sizes = {r["category_id"]: r["n"] for r in train.groupBy("category_id").agg(F.count("*").alias("n")).collect()}
+        sizes = {}
+        for r in counted:
+            if r["fold"] != fold:
+                sizes[r["category_id"]] = sizes.get(r["category_id"], 0) + r["n"]
         if sum(sizes.values()) < K.MIN_TRAINING_ROWS * (folds - 1) / folds:
             raise ValueError(f"Insufficient training data: {sum(sizes.values())} samples")
         classes = F.array(*(F.lit(c) for c in sorted(sizes)))  # at most fifteen
@@ -53,10 +59,11 @@ def cross_fitted_categories(df: DataFrame, folds: int = FOLDS, kind: str = "naiv
         best = F.array_max("chances")
         scored = scored.withColumn("chances", chances)
         usable = has_text(F.col("tokens"))
-        parts.append(scored.select(
+        return scored.select(
             key, F.when(usable, F.get(classes, F.array_position("chances", best) - 1)).otherwise(-1).alias("nlp_predicted_category"),
-            F.when(usable, best).otherwise(0.0).alias("nlp_category_confidence")))
-    return reduce(DataFrame.unionByName, parts)
+            F.when(usable, best).otherwise(0.0).alias("nlp_category_confidence"))
+
+    return reduce(DataFrame.unionByName, side_by_side([partial(scores, k) for k in range(folds)], folds))
 
 
 def _moments(rows: DataFrame, names: list[str]) -> tuple[list[str], dict[str, Column]]:
