@@ -1,10 +1,9 @@
-"""Lemmas without a shuffle of texts, tf-idf that counts only its vocabulary by row, and text forests in parts."""
+"""Lemmas without a shuffle of texts, tf-idf that counts only its vocabulary by row, fits and folds beside each other."""
 
 import pytest
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from trendmill.models import crossfit, forests, lemmas, nlp, store, text
+from trendmill.models import crossfit, engagement, lemmas, store, text
 
 
 def plan(df):
@@ -53,25 +52,19 @@ def test_rows_of_one_key_count_as_one_document(spark):
     assert found[(1, "a1")] == pytest.approx(2 * found[(1, "b1")])
 
 
-def test_text_forests_are_grown_in_parts_and_keep_their_shares(spark):
-    i = F.col("id")
-    df = spark.range(200).select("id", (i % 2).cast("double").alias("label"),
-                                 array_to_vector(F.array((i % 2).cast("double"), (i % 7).cast("double"))).alias("features"))
-    learner = nlp.classifier("random_forest", 200, 5, 3)
-    stages = forests.grow(learner, df, 2)
-    assert [m.getNumTrees for m in stages[:-1]] == [2, 2, 1]
-    scored = df
-    for stage in stages:
-        scored = stage.transform(scored)
-    rows = scored.select("label", "prediction", vector_to_array("rawPrediction").alias("votes"),
-                         vector_to_array("probability").alias("shares")).collect()
-    for r in rows:
-        assert sum(r.votes) == pytest.approx(5) and r.shares == pytest.approx([v / 5 for v in r.votes])
-        assert r.prediction == r.votes.index(max(r.votes))
-    assert [p.getNumTrees() for p in forests.parts(nlp.classifier("random_forest", 200))] == [25] * 4
-
-
-def test_boosting_has_places_beside_the_forests(monkeypatch):
+def test_all_four_engagement_models_are_fitted_beside_each_other(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(engagement, "fit_once", lambda rows, names, target, learner, folds: engagement.Regressor(
+        type(learner).__name__, target, names, None, {}))
+    monkeypatch.setattr(engagement, "side_by_side", lambda fits, n: calls.append((len(fits), n)) or [f() for f in fits])
+    df = spark.range(200).select(F.col("id").cast("string").alias("video_id"), (F.col("id") + 1).alias("views"),
+                                 F.lit(0.1).alias("engagement_rate"), (F.col("id") % 7).alias("tag_count"))
+    assert list(engagement.train_models(df)) == [
+        (t, k) for t in ("views", "engagement_rate") for k in ("RandomForestRegressor", "GBTRegressor")]
+    assert calls == [(4, 4)]
+
+
+def test_boosting_has_places_beside_the_forests():
     held = [store._SLOTS.acquire() for _ in range(store.PARALLEL_FITS)]
     try:
         assert store.fit_side_by_side([lambda: 7], light=True) == [7]
