@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from trendmill import constants as K
 from trendmill.operators import views
 from trendmill.plans.registry import query
@@ -115,7 +117,9 @@ FROM enriched WHERE ml_predicted_views IS NOT NULL AND nlp_predicted_category IS
        doubles="engagement_rate ml_predicted_engagement_rate engagement_prediction_error "
                "nlp_category_confidence ml_predicted_views views_prediction_error")
 def ml_predictions_analysis(spark, sf):
-    return views.ml_predictions_analysis(scored(spark, sf))
+    """Scores have nine digits, so ties of the sixth occur; like the twin, they are scaled before they are rounded."""
+    return views.ml_predictions_analysis(scored(spark, sf)).withColumns({
+        c: F.round(F.col(c) * 1e6) / 1e6 for c in ("ml_predicted_engagement_rate", "nlp_category_confidence")})
 
 
 @query("dashboard_summary", enriched_sql(f"""
